@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op10_byte_bpe
 from .token_counts import op3_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_token_counts,)}
+    return {f.__name__: f for f in (op3_token_counts, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

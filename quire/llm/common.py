@@ -64,6 +64,18 @@ def batches_by_bytes(rows: Iterator, weight, limit: int) -> Iterator[list]:
 SAFE_CUT = re.compile(r"(?<=\S)(?= [A-Za-z])")
 
 
+def segments(text: str, chars: int = 1 << 20) -> Iterator[str]:
+    """The text in parts of about so many characters, cut where SAFE_CUT holds; without such a place it stays whole."""
+    at = 0
+    while len(text) - at > chars:
+        cut = SAFE_CUT.search(text, at + chars)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
 def small_batches(df: DataFrame, rows: int = 256) -> DataFrame:
     """Sets the session's Arrow batch to few rows, as texts may be very long."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
