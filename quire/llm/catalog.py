@@ -1,14 +1,15 @@
-"""Queries of the training-data operators."""
+"""Queries of the training-data operators, and SQL for those that SQL expresses."""
 
 from __future__ import annotations
 
 from .byte_bpe import op10_byte_bpe
+from .mixing import OP7_SQL, op7_mix_sources
 from .token_counts import op3_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_token_counts, op10_byte_bpe)}
+    return {f.__name__: f for f in (op3_token_counts, op7_mix_sources, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mix_sources": OP7_SQL}
