@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from .byte_bpe import op10_byte_bpe
+from .matroska import op9_matroska
 from .mixing import OP7_SQL, op7_mix_sources
 from .token_counts import op3_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_token_counts, op7_mix_sources, op10_byte_bpe)}
+    return {f.__name__: f for f in (op3_token_counts, op7_mix_sources, op9_matroska, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
