@@ -6,11 +6,12 @@ from .byte_bpe import op10_byte_bpe
 from .matroska import op9_matroska
 from .mixing import OP7_SQL, op7_mix_sources
 from .pii import op2_pii_pseudonyms
+from .quality import op5_quality
 from .token_counts import op3_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_pii_pseudonyms, op3_token_counts, op7_mix_sources, op9_matroska, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_pii_pseudonyms, op3_token_counts, op5_quality, op7_mix_sources, op9_matroska, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
