@@ -8,11 +8,12 @@ from .mixing import OP7_SQL, op7_mix_sources
 from .pii import op2_pii_pseudonyms
 from .quality import op5_quality
 from .secrets import op1_secret_scan
+from .suffix_dedup import op8_suffix_dedup
 from .token_counts import op3_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_pii_pseudonyms, op3_token_counts, op5_quality, op7_mix_sources, op9_matroska, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_pii_pseudonyms, op3_token_counts, op5_quality, op7_mix_sources, op8_suffix_dedup, op9_matroska, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
