@@ -468,15 +468,8 @@ def links_in_groups(rows: DataFrame, percent: int, group_size: int) -> DataFrame
     return checkpointed(edges.unionByName(_joined(pairs, percent)))
 
 
-def ngram_components(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text", group_size: int = GROUP, buckets: int | None = None) -> DataFrame:
-    """(id, n_shingles, component_id, class) for each row of docs.
-
-    Two rows link when 100 * intersection >= percent * union of their n-gram sets; component_id is the smallest id that
-    links reach, its own included. Rows of equal sets have equal classes. Null and empty texts, and those without
-    words, have no n-grams and link with nothing, so their component is their own id. Null ids are linked like others
-    but are never a component's id: it is null where a component has no other. Rows may repeat, in id or whole; other
-    columns are ignored whatever their names. An empty table gives no rows.
-    """
+def _labelled(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str, group_size: int, buckets: int | None) -> DataFrame:
+    """(id, th, class, n, label) for each row: its set's class and size, and what its connected group is called."""
     if not 50 <= percent <= 100:
         raise ValueError("percent is from 50 to 100")
     spark = docs.sparkSession
@@ -494,13 +487,39 @@ def ngram_components(docs: DataFrame, percent: int = 75, width: int = 5, id_col:
     sized = groups.join(groups.groupBy("group").agg(F.count("*").alias("members")), "group")
     edges = links_in_groups(checkpointed(_rows_of(sets).dropDuplicates(["class"]).join(sized, "class")), percent, group_size)
     labels = connected(edges).select(F.col("node").alias("class"), "label")
-    flat = documents.select(F.explode(F.arrays_zip("id", "class", "n")).alias("d")).select("d.id", "d.class", F.col("d.n").cast("long").alias("n"))
-    labelled = flat.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    flat = documents.select(F.explode(F.arrays_zip("id", "th", "class", "n")).alias("d")).select("d.id", "d.th", "d.class", F.col("d.n").cast("long").alias("n"))
+    return flat.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+
+
+def ngram_components(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text", group_size: int = GROUP, buckets: int | None = None) -> DataFrame:
+    """(id, n_shingles, component_id, class) for each row of docs.
+
+    Two rows link when 100 * intersection >= percent * union of their n-gram sets; component_id is the smallest id that
+    links reach, its own included. Rows of equal sets have equal classes. Null and empty texts, and those without
+    words, have no n-grams and link with nothing, so their component is their own id. Null ids are linked like others
+    but are never a component's id: it is null where a component has no other. Rows may repeat, in id or whole; other
+    columns are ignored whatever their names. An empty table gives no rows.
+    """
+    labelled = _labelled(docs, percent, width, id_col, text_col, group_size, buckets)
     smallest = labelled.where("label is not null").groupBy("label").agg(F.min("id").alias("component"))
     out = labelled.join(smallest, "label", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"), "class")
 
 
+def one_of_each(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text", group_size: int = GROUP, buckets: int | None = None) -> DataFrame:
+    """docs with one row of each connected group, that of the smallest id; null ids come last, of equal ids a hash of
+    the text decides. Rows without words stay, all of them. Columns stay as they are; otherwise as ngram_components."""
+    labelled = _labelled(docs, percent, width, id_col, text_col, group_size, buckets)
+    first = labelled.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("x"), "id", "th")).alias("f")).select(F.col("f.id").alias("_id"), F.col("f.th").alias("_th"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    worded = text.rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.where(worded).withColumns({"_id": F.col(f"`{id_col}`").cast("long"), "_th": F.hash(text)})
+    # Null ids get a number to join on; what is null is part of the key as well.
+    key = lambda df: df.withColumns({"_null": F.col("_id").isNull(), "_id": F.coalesce("_id", F.lit(-1))})
+    kept = key(keyed).join(key(first), ["_id", "_null", "_th"], "left_semi").dropDuplicates(["_id", "_null", "_th"])
+    return kept.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.where(~worded))
+
+
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:
     from .common import table
 

@@ -185,6 +185,22 @@ def score(docs: DataFrame, machine: Machine, meta: tuple[str, ...] = (), thresho
     return out.select(F.col("id").alias(id_col), (fold(F.col("id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, machine: Machine, meta: tuple[str, ...] = (), threshold: float = 0.3, words: int = WORDS, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score threshold or more, all columns as they are; the cases are those of score()."""
+    features_of, names = Features(words, len(meta)), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                own = part.select([0, names.index(text_col), *range(len(names), part.num_columns)])
+                keep = machine.score(_rows(own, features_of)) >= threshold
+                yield part.select(list(range(len(names)))).filter(pa.array(keep))
+
+    scaled = [c.alias(f"_meta{i}") for i, c in enumerate(_scaled(meta))]
+    return small_batches(docs).select(*[docs[c] for c in names], *scaled).mapInArrow(run, docs.schema)
+
+
 #: The only metadata of the query.
 META = ("n_chars",)
 
