@@ -1,15 +1,528 @@
-"""Registered queries and the SQL that each is held against."""
+"""Registered queries, each beside the SQL that it is held against.
+
+Operators that need text the tables don't have (headings, Indic scripts, OCR output, markup) run over literal rows, which
+both sides read from the same list.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.functions import lang, ocr, text
+from quire.operators import advice, chunks, languages, paging, retrieval, summary, units
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"), "text", "lang")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paging.paginate_text(docs(spark, sf_dir))
+
+
+def rows(spark: SparkSession, values: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(values, schema)
+
+
+def literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, int | float):
+        return str(value)
+    return "('" + value.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\r", "' || chr(13) || '").replace("\t", "' || chr(9) || '") + "')"
+
+
+def values(rows_: list[tuple], columns: str) -> str:
+    """A list of rows as a table expression."""
+    return f"(VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows_)}) AS v({columns})"
+
+
+# SQL of shared steps. S is white space as str.split() has it.
+_S = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_N = _S.replace("[", "[^", 1)
+
+
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '\A{_S}+|{_S}+\z', '', 'g')"
+
+
+def _wc(x: str) -> str:
+    return rf"len(regexp_extract_all({x}, '{_N}+'))"
+
+
+_PAGES = rf"""
+raw AS (SELECT doc_id::VARCHAR AS doc, coalesce(text, '') AS t, greatest(((length(coalesce(text, '')) + 2499) // 2500), 1) AS total FROM documents),
+slices AS (SELECT doc, total, i + 1 AS page_number, substr(t, i * 2500 + 1, 2500) AS slice FROM raw, LATERAL (SELECT unnest(range(total)) AS i)),
+pages AS (SELECT doc, total, page_number, {_strip('slice')} AS content, length(slice) AS raw_chars FROM slices)"""
+
+# Paragraphs of pages: single line ends stay, blank lines part paragraphs. The tables have no markup or stamps, but the
+# steps are the same.
+_UNITS = rf"""
+norm AS (
+  SELECT doc, page_number,
+    regexp_replace(regexp_replace(regexp_replace(content, '(?i)scanned[\t-\r\x1c-\x20\x{{85}}\x{{a0}}]+by[\t-\r\x1c-\x20\x{{85}}\x{{a0}}]+camscanner[^\n]*', '', 'g'), '\r\n?', chr(10), 'g'), '</?(?:div|span|p)[^>]*>', '', 'g') AS t
+  FROM pages),
+paras AS (
+  SELECT doc, page_number, i AS para, {_strip('p')} AS p
+  FROM norm, LATERAL (SELECT unnest(range(1, len(string_split_regex(t, '\n{_S}*\n+')) + 1)) AS i), LATERAL (SELECT string_split_regex(t, '\n{_S}*\n+')[i] AS p)),
+cleaned AS (
+  SELECT doc, page_number, para,
+    array_to_string(list_filter(list_transform(string_split(p, chr(10)), lambda x: {_strip("regexp_replace(x, '[ \t]+', ' ', 'g')")}), lambda x: x <> ''), chr(10)) AS text
+  FROM paras),
+units AS (
+  SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY page_number, para) - 1 AS unit_idx, text, page_number, {_wc('text')} AS word_count
+  FROM cleaned WHERE regexp_matches(text, '[\p{{L}}\p{{N}}]'))"""
+
+
+@query(rf"WITH {_PAGES} SELECT doc, page_number::INTEGER AS page_number, content, (CASE WHEN total = 1 THEN raw_chars ELSE length(content) END)::INTEGER AS char_count, total::INTEGER AS total_pages FROM pages")
+def paginate_txt(spark, sf_dir):
+    return pages(spark, sf_dir).select("doc", "page_number", "content", "metadata.char_count", "metadata.total_pages")
+
+
+_HEADED = "CASE WHEN page_number % 3 = 1 THEN '# Part ' || page_number || chr(10) || content ELSE content END"
+
+
+@query(rf"""WITH {_PAGES},
+headed AS (SELECT doc, page_number, {_HEADED} AS content FROM pages),
+found AS (SELECT *, nullif(regexp_extract(content, '(?:^|\n)(?:#+{_S}*|Section{_S}+)([\p{{L}}\p{{N}}_][^\n]{{2,40}})', 1), '') AS f FROM headed)
+SELECT doc, page_number::INTEGER AS page_number, coalesce({_strip('last_value(f IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page_number ROWS UNBOUNDED PRECEDING)')}, 'General') AS section FROM found""")
+def page_section_carry(spark, sf_dir):
+    p = pages(spark, sf_dir)
+    content = F.when(F.col("page_number") % 3 == 1, F.concat(F.lit("# Part "), F.col("page_number").cast("string"), F.lit("\n"), "content")).otherwise(F.col("content"))
+    return p.select("doc", "page_number", paging.carried(text.txt_section(content), "doc", "page_number").alias("section"))
+
+
+@query(rf"""WITH {_PAGES}, {_UNITS}
+SELECT doc, page_number::INTEGER AS page_number, array_to_string(list(text ORDER BY para), chr(10) || chr(10)) AS normal FROM cleaned WHERE text <> '' GROUP BY doc, page_number""")
+def normalize_native(spark, sf_dir):
+    return pages(spark, sf_dir).select("doc", "page_number", text.normalize_native(F.col("content")).alias("normal")).where("normal <> ''")
+
+
+@query(rf"WITH {_PAGES}, {_UNITS} SELECT doc, unit_idx::INTEGER AS unit_idx, text, page_number::INTEGER AS page_number, word_count::INTEGER AS word_count FROM units")
+def paragraph_units(spark, sf_dir):
+    return units.paragraph_units(pages(spark, sf_dir)).select("doc", "unit_idx", "text", "page_number", "word_count")
+
+
+@query(rf"""WITH c AS (SELECT doc_id::VARCHAR AS doc, CASE WHEN doc_id % 7 = 0 THEN 'Scanned by CamScanner' WHEN doc_id % 7 = 1 THEN substr(text, 1, 9) || '0123456789012345678901234567890' ELSE text END AS t FROM documents),
+k AS (SELECT doc, {_strip("regexp_replace(t, '(?i)scanned[ ]+by[ ]+camscanner[^\n]*', '', 'g')")} AS clean FROM c),
+n AS (SELECT doc, clean, len(regexp_extract_all(clean, '\p{{L}}')) AS letters, len(list_filter(regexp_extract_all(clean, '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= 2 AND NOT regexp_matches(w, '_'))) AS w FROM k)
+SELECT doc, coalesce(clean <> '' AND ((letters >= 10 AND letters / length(clean) >= 0.3) OR (w >= 2 AND letters >= 8)), false) AS usable, length(coalesce(clean, ''))::INTEGER AS n_clean FROM n""")
+def native_quality(spark, sf_dir):
+    t = F.when(F.col("doc").cast("long") % 7 == 0, "Scanned by CamScanner").when(F.col("doc").cast("long") % 7 == 1, F.concat(F.substring("text", 1, 9), F.lit("0123456789012345678901234567890"))).otherwise(F.col("text"))
+    return docs(spark, sf_dir).select("doc", text.native_quality(t).alias("q")).select("doc", "q.usable", F.length("q.clean").alias("n_clean"))
+
+
+@query(rf"""WITH s AS (SELECT doc_id::VARCHAR AS doc, list_filter(list_transform(string_split(regexp_replace(text, '([.!?।॥؟۔。！？]){_S}+', '\1' || chr(1), 'g'), chr(1)), lambda x: {_strip('x')}), lambda x: x <> '') AS l FROM documents)
+SELECT doc, i::INTEGER AS place, l[i + 1] AS sentence FROM s, LATERAL (SELECT unnest(range(len(l))) AS i)""")
+def sentence_split(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc", F.posexplode(text.sentences(F.col("text"))).alias("place", "sentence"))
+
+
+@query(rf"""WITH w AS (SELECT doc_id::VARCHAR AS doc, regexp_extract_all(text, '{_N}+') AS l FROM documents)
+SELECT doc, i::INTEGER AS place, array_to_string(l[i * 100 + 1 : i * 100 + 100], ' ') AS words FROM w, LATERAL (SELECT unnest(range((len(l) + 99) // 100)) AS i)""")
+def word_windows(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc", F.posexplode(text.word_windows(F.col("text"), 100)).alias("place", "words"))
+
+
+HEADINGS = [
+    (1, "UNIT II Intro: what it is\nand more"), (2, "UNIT I Intro"), (3, "1. Intro text"), (4, "1 Intro text"), (5, "# A heading of its own\nBody"), (6, "CHAPTER 12 is here"), (7, "chapter twelve"),
+    (8, "Section 4: System"), (9, "body first\n2.1 Then a heading: here"), (10, "unit iv\nx"), (11, "    SECTION 3"), (12, "## é"), (13, "##  Ünïcode heading\n"), (14, "plain body, no heading"),
+]
+
+
+@query(rf"""SELECT id::INTEGER AS id, CASE WHEN m <> '' THEN {_strip(r"regexp_replace(m, '\A[# \n:]+|[# \n:]+\z', '', 'g')")} ELSE 'page' END AS section
+FROM (SELECT id, regexp_extract(t, '(?:^|\n)(?:#+{_S}*|(?:\p{{Nd}}+(?:\.\p{{Nd}}+)*{_S}+)|(?:UNIT{_S}+[IVXLCDM]+))[\p{{L}}\p{{Nl}}\p{{No}}][^\n:]{{2,60}}(?::|\n|$)', 0) AS m FROM {values(HEADINGS, 'id, t')})""")
+def unit_sections(spark, sf_dir):
+    return rows(spark, HEADINGS, "id int, t string").select("id", text.unit_section(F.col("t"), F.lit("page")).alias("section"))
+
+
+@query(rf"SELECT id::INTEGER AS id, regexp_matches(substr(t, 1, 40), '(?i)^(?:UNIT{_S}+[IVXLCDM]+|CHAPTER{_S}+\p{{Nd}}+|SECTION{_S}+\p{{Nd}}+)') AS major FROM {values(HEADINGS, 'id, t')}")
+def major_headings(spark, sf_dir):
+    return rows(spark, HEADINGS, "id int, t string").select("id", text.is_major_heading(F.col("t")).alias("major"))
+
+
+# The fold, unit by unit. Units of the tables are below max_words and have no headings, so a chunk is a run of units
+# behind the last words of the unit before.
+def _fold(low: int, target: int, high: int, overlap: int, brk: str) -> str:
+    return rf"""WITH RECURSIVE {_PAGES}, {_UNITS},
+f AS (
+  SELECT doc, unit_idx, word_count AS cur, 0 AS chunk, page_number AS page, 0 AS over, false AS new FROM units WHERE unit_idx = 0
+  UNION ALL
+  SELECT u.doc, u.unit_idx,
+    CASE WHEN {brk} THEN least(p.word_count, {overlap}) ELSE f.cur END + u.word_count,
+    CASE WHEN {brk} THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN {brk} THEN u.page_number ELSE f.page END,
+    CASE WHEN {brk} THEN least(p.word_count, {overlap}) ELSE 0 END, {brk}
+  FROM f JOIN units p ON p.doc = f.doc AND p.unit_idx = f.unit_idx JOIN units u ON u.doc = f.doc AND u.unit_idx = f.unit_idx + 1),
+g AS (SELECT f.*, u.text, p.text AS before, p.word_count AS before_words, max(f.chunk) OVER (PARTITION BY f.doc) AS last_chunk,
+    last_value(f.cur) OVER (PARTITION BY f.doc ORDER BY f.unit_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_cur
+  FROM f JOIN units u USING (doc, unit_idx) LEFT JOIN units p ON p.doc = f.doc AND p.unit_idx = f.unit_idx - 1),
+t AS (
+  SELECT doc, chunk, min(page) AS page_number, any_value(last_chunk) AS last_chunk, any_value(last_cur) AS last_cur,
+    array_to_string(list(CASE WHEN new THEN
+      CASE WHEN before_words > {overlap} THEN array_to_string(regexp_extract_all(before, '{_N}+')[-{overlap}:], ' ') ELSE before END || chr(10) || chr(10) || text
+      ELSE text END ORDER BY unit_idx), chr(10) || chr(10)) AS text
+  FROM g GROUP BY doc, chunk),
+o AS (SELECT *, last_chunk > 0 AND chunk = last_chunk AND last_cur < {min(low // 2, 40)} AS orphan FROM t),
+m AS (SELECT *, lead(CASE WHEN orphan THEN text END) OVER (PARTITION BY doc ORDER BY chunk) AS rest,
+  coalesce(sum(length(text) + 2) OVER (PARTITION BY doc ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM o),
+c AS (SELECT doc, chunk, page_number, start, CASE WHEN rest IS NOT NULL THEN text || chr(10) || chr(10) || rest ELSE text END AS text FROM m WHERE NOT orphan)"""
+
+
+_CHUNKS = rf"""
+SELECT doc || '_c' || chunk AS chunk_id, doc AS document_name, page_number::INTEGER AS page_number, chunk::INTEGER AS chunk_index, text, {_wc('text')}::INTEGER AS word_count,
+  length(text)::INTEGER AS char_count, start::INTEGER AS char_start, (start + length(text))::INTEGER AS char_end FROM c"""
+
+
+_BY_TARGET = _fold(250, 450, 750, 40, "f.cur + u.word_count > 450 AND f.cur >= 250")
+_SHOWN = ["chunk_id", "document_name", "page_number", "chunk_index", "text", "word_count", "char_count", "char_start", "char_end"]
+
+
+@query(_BY_TARGET + _CHUNKS)
+def chunk_deterministic(spark, sf_dir):
+    return chunks.assemble(units.paragraph_units(pages(spark, sf_dir))).select(*_SHOWN)
+
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return chunk_deterministic(spark, sf_dir)
+
+
+@query(_fold(250, 450, 750, 40, "f.cur >= 250 AND (u.unit_idx % 3 = 0 OR f.cur + u.word_count > 750)") + _CHUNKS)
+def chunk_semantic(spark, sf_dir):
+    u = units.paragraph_units(pages(spark, sf_dir))
+    decisions = u.select("doc", "unit_idx", F.when(F.col("unit_idx") % 3 == 0, "BREAK").otherwise("CONTINUE").alias("decision"))
+    return chunks.assemble(u, decisions=decisions).select(*_SHOWN)
+
+
+@query()
+def chunk_oversize(spark, sf_dir):
+    """Whole documents as one unit each, so long ones are split by sentences or runs of words."""
+    u = docs(spark, sf_dir).where(text.word_count(F.col("text")) > 0).select("doc", F.lit(0).alias("unit_idx"), "text", F.lit(1).alias("page_number"), F.lit("General").alias("section"), F.lit("txt").alias("source_type"), F.lit(False).alias("ocr_applied"), text.word_count(F.col("text")).alias("word_count"))
+    return chunks.assemble(u, chunks.Budget(100, 200, 300, 20)).select(*_SHOWN)
+
+
+@query(rf"""WITH RECURSIVE {_PAGES}, {_UNITS},
+n AS (SELECT doc, count(*) AS n FROM units GROUP BY doc),
+f AS (
+  SELECT doc, unit_idx, word_count AS cur, word_count >= 250 AS hit FROM units WHERE unit_idx = 0
+  UNION ALL
+  SELECT u.doc, u.unit_idx, (CASE WHEN f.hit THEN 0 ELSE f.cur END) + u.word_count, (CASE WHEN f.hit THEN 0 ELSE f.cur END) + u.word_count >= 250
+  FROM f JOIN units u ON u.doc = f.doc AND u.unit_idx = f.unit_idx + 1),
+c AS (SELECT doc, unit_idx FROM f WHERE hit UNION ALL SELECT doc, least(1, n - 1) FROM n WHERE doc NOT IN (SELECT doc FROM f WHERE hit)),
+s AS (SELECT DISTINCT c.doc, CASE WHEN n.n <= 5 THEN 0 ELSE greatest(0, c.unit_idx - 2) END AS start, n.n FROM c JOIN n USING (doc))
+SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY start) - 1)::INTEGER AS place, start::INTEGER AS start, least(5, n - start)::INTEGER AS members FROM s WHERE n - start > 1""")
+def chunk_boundary_windows(spark, sf_dir):
+    return advice.windows(units.paragraph_units(pages(spark, sf_dir)), 250).select("doc", "place", "start", F.size("snippets").alias("members"))
+
+
+@query()
+def chunk_advised(spark, sf_dir):
+    """Boundaries by an advisor that compares words."""
+    u = units.paragraph_units(pages(spark, sf_dir))
+    return advice.route(u, advisor=advice.LexicalAdvisor()).select(*_SHOWN, "metadata.chunking_strategy")
+
+
+@query(rf"""WITH RECURSIVE b AS (
+  SELECT conv_id::VARCHAR AS doc, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos, {_strip('text')} AS text FROM conversations WHERE {_strip('text')} <> ''),
+w AS (SELECT *, {_wc('text')} AS n FROM b),
+f AS (
+  SELECT doc, pos, n AS cur, 1 AS page FROM w WHERE pos = 1
+  UNION ALL
+  SELECT w.doc, w.pos, CASE WHEN f.cur + w.n > 60 THEN w.n ELSE f.cur + w.n END, CASE WHEN f.cur + w.n > 60 THEN f.page + 1 ELSE f.page END
+  FROM f JOIN w ON w.doc = f.doc AND w.pos = f.pos + 1)
+SELECT doc, page::INTEGER AS page_number, array_to_string(list(text ORDER BY pos), chr(10) || chr(10)) AS content, max(max(page)) OVER (PARTITION BY doc)::INTEGER AS total_pages
+FROM f JOIN w USING (doc, pos) GROUP BY doc, page""")
+def docx_paginate(spark, sf_dir):
+    """Turns of conversations as blocks, 60 words to a page."""
+    from pyspark.sql import Window
+
+    t = table(spark, sf_dir, "conversations").where(text.strip(F.col("text")) != "")
+    b = t.select(F.col("conv_id").cast("string").alias("doc"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).alias("pos"), F.lit("paragraph").alias("type"), text.strip(F.col("text")).alias("text"), F.lit("General").alias("section"))
+    return paging.paginate_blocks(b, 60).select("doc", "page_number", "content", "metadata.total_pages")
+
+
+BLOCKS = [
+    ("a", 0, "paragraph", "1 Introduction and objectives", False), ("a", 1, "paragraph", "Body one.", False), ("a", 2, "table", "Heading | like 2 Cells", True), ("a", 3, "paragraph", "Styled", True),
+    ("a", 4, "paragraph", "Body two.", False), ("b", 0, "paragraph", "1. Dotted", False), ("b", 1, "paragraph", "unit IV everything", False), ("b", 2, "paragraph", "x y", False), ("b", 3, "paragraph", "   ", True),
+]
+
+
+@query(rf"""WITH b AS (SELECT doc, pos, type, {_strip('t')} AS text, s FROM {values(BLOCKS, 'doc, pos, type, t, s')}),
+h AS (SELECT *, type <> 'table' AND (s OR (regexp_matches(text, '(?i)^(?:\p{{Nd}}+(?:\.\p{{Nd}}+)*{_S}+[\p{{L}}\p{{Nl}}\p{{No}}].{{1,50}}|UNIT{_S}+[IVXLCDM]+.*|CHAPTER{_S}+\p{{Nd}}+.*|SECTION{_S}+\p{{Nd}}+.*)$') AND {_wc('text')} <= 12)) AS head FROM b WHERE text <> '')
+SELECT doc, pos::INTEGER AS pos, CASE WHEN head THEN 'heading' ELSE type END AS type, text, coalesce(last_value(CASE WHEN head THEN text END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING), 'General') AS section FROM h""")
+def docx_sections(spark, sf_dir):
+    return paging.sectioned_blocks(rows(spark, BLOCKS, "doc string, pos int, type string, text string, heading_style boolean"))
+
+
+SCRIPTS = [
+    (1, "नमस्ते दुनिया यह हिंदी है"), (2, "क" * 9 + " only nine"), (3, "क" * 10 + " and ten"), (4, "வணக்கம் உலகம் இது தமிழ்"), (5, "నమస్కారం ప్రపంచం తెలుగు"), (6, "plain English"), (7, "مرحبا بالعالم هذا نص"),
+    (8, "क" * 10 + "த" * 40), (9, "হ্যালো বিশ্ব এটা বাংলা"), (10, "ನಮಸ್ಕಾರ ಪ್ರಪಂಚ ಕನ್ನಡ"), (11, "ഹലോ ലോകം മലയാളം ഭാഷ"), (12, "હેલો વિશ્વ આ ગુજરાતી છે"), (13, "ਸਤ ਸ੍ਰੀ ਅਕਾਲ ਦੁਨੀਆ ਪੰਜਾਬੀ"), (14, "你好世界你好世界你好世界"),
+]
+
+
+def _script(x: str, least: int) -> str:
+    return "coalesce(" + ", ".join(f"CASE WHEN len(regexp_extract_all({x}, '{p}')) >= {least} THEN '{k}' END" for k, p in lang.SCRIPTS.items()) + ")"
+
+
+@query(f"SELECT id::INTEGER AS id, {_script('t', 10)} AS ten, {_script('t', 12)} AS twelve FROM {values(SCRIPTS, 'id, t')}")
+def detect_script(spark, sf_dir):
+    return rows(spark, SCRIPTS, "id int, t string").select("id", lang.script(F.col("t"), 10).alias("ten"), lang.script(F.col("t")).alias("twelve"))
+
+
+_NOT_PROSE = lang.NOT_PROSE.replace("'", "''")
+
+
+def _prose(x: str) -> str:
+    return rf"array_to_string(list_filter(regexp_extract_all(regexp_replace({x}, '{_NOT_PROSE}', ' ', 'g'), '{_N}+'), lambda w: length(w) >= 2), ' ')"
+
+
+@query(f"SELECT doc_id::VARCHAR AS doc, {_prose('text')} AS prose FROM documents")
+def clean_prose(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc", lang.prose(F.col("text")).alias("prose"))
+
+
+def _given_language(p: DataFrame, d: DataFrame) -> DataFrame:
+    """Evidence with the table's lang as what the classifier says."""
+    joined = p.join(d.select("doc", "lang"), "doc")
+    content = F.concat(F.col("content"), F.lit("\n\n"), F.when(F.col("page_number") % 4 == 1, "नमस्ते दुनिया यह हिंदी पाठ है और लंबा है").otherwise(""))
+    e = languages.evidence(joined.withColumn("content", content), lambda c: F.struct(F.lit("?").alias("lang"), F.lit(1.0).alias("prob")))
+    return e.join(d.select("doc", F.col("lang").alias("own")), "doc").withColumn("lang", F.when(F.col("lang") == "?", F.col("own")).otherwise(F.col("lang"))).drop("own")
+
+
+_NAMES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lang.NAMES.items())
+
+
+@query(rf"""WITH {_PAGES},
+q AS (SELECT p.doc, page_number, d.lang, content || chr(10) || chr(10) || CASE WHEN page_number % 4 = 1 THEN 'नमस्ते दुनिया यह हिंदी पाठ है और लंबा है' ELSE '' END AS t FROM pages p JOIN documents d ON p.doc = d.doc_id::VARCHAR),
+b AS (SELECT doc, page_number, i AS para, lang, {_strip('x')} AS p FROM q, LATERAL (SELECT unnest(range(1, len(string_split_regex(t, '\n{_S}*\n')) + 1)) AS i), LATERAL (SELECT string_split_regex(t, '\n{_S}*\n')[i] AS x)),
+s AS (SELECT *, {_script('p', 10)} AS script, {_prose('p')} AS prose FROM b WHERE length(p) >= 20),
+e AS (SELECT doc, page_number, para, coalesce(script, lang) AS lang, CASE WHEN script IS NOT NULL THEN length(p) ELSE length(prose) END AS weight FROM s WHERE script IS NOT NULL OR length(prose) >= 50),
+g AS (SELECT doc, lang, sum(weight) AS weight, min(page_number * 1000000 + para) AS first FROM e GROUP BY doc, lang),
+h AS (SELECT *, weight / sum(weight) OVER (PARTITION BY doc) * 100.0 AS pct FROM g),
+k AS (SELECT *, max(pct) OVER (PARTITION BY doc) AS most, row_number() OVER (PARTITION BY doc ORDER BY pct DESC, first) AS r FROM h),
+l AS (SELECT doc, lang, first, round(pct / sum(pct) OVER (PARTITION BY doc) * 100.0, 1) AS pct FROM k WHERE pct >= 8.0 OR (most < 8.0 AND r = 1)),
+a AS (SELECT doc, list(lang ORDER BY pct DESC, first) AS langs, list(pct ORDER BY pct DESC, first) AS pcts FROM l GROUP BY doc)
+SELECT d.doc_id::VARCHAR AS doc, coalesce(langs[1], 'en') AS primary_language, array_to_string(coalesce(langs, ['en']), ',') AS detected, coalesce(pcts[1], 100.0)::DOUBLE AS top_pct, coalesce(len(langs) > 1, false) AS is_multilingual
+FROM documents d LEFT JOIN a ON a.doc = d.doc_id::VARCHAR""")
+def language_breakdown(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    a = languages.analyze(d, _given_language(pages(spark, sf_dir), d))
+    return a.select("doc", "primary_language", F.array_join("detected_languages", ",").alias("detected"), F.col("breakdown")[0]["pct"].alias("top_pct"), "is_multilingual")
+
+
+@query()
+def language_summary(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return languages.analyze(d, _given_language(pages(spark, sf_dir), d)).select("doc", "summary_display")
+
+
+def _counted(x: str) -> str:
+    return ", ".join(f"len(list_filter(string_split(lower({x}), ' '), lambda w: w IN ({', '.join(repr(w) for w in words)}))) AS n_{k}" for k, words in lang.FUNCTION_WORDS.items())
+
+
+_LANGS = list(lang.FUNCTION_WORDS)
+_BEST = "CASE " + " ".join(f"WHEN n_{k} = greatest({', '.join('n_' + x for x in _LANGS)}) THEN '{k}'" for k in _LANGS) + " END"
+
+
+@query(rf"""WITH p AS (SELECT doc_id::VARCHAR AS doc, {_script('text', 10)} AS script, {_prose('text')} AS prose FROM documents),
+n AS (SELECT *, {_counted('prose')} FROM p),
+b AS (SELECT *, {_BEST} AS best, greatest({', '.join('n_' + x for x in _LANGS)}) AS top, {' + '.join('n_' + x for x in _LANGS)} AS total FROM n)
+SELECT doc, coalesce(script, CASE WHEN length(prose) >= 60 AND top > 0 AND top / total >= 0.85 AND best IN ('en', 'de', 'fr') THEN best ELSE 'en' END) AS language FROM b""")
+def chunk_language(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc", lang.chunk_language(F.col("text"), F.lit("en"), F.array(F.lit("en"), F.lit("de"), F.lit("fr"))).alias("language"))
+
+
+OCR_LINES = [(1, "A1 + B2"), (2, "x = y"), (3, "The sum = 5"), (4, "a"), (5, "12 34"), (6, " ok "), (7, "q0 * q1 / q2"), (8, "नमस्ते"), (9, "x+y=z abcdef"), (10, "[a]=[b]"), (11, "")]
+
+
+@query(rf"""WITH l AS (SELECT id, {_strip('t')} AS x FROM {values(OCR_LINES, 'id, t')}),
+n AS (SELECT id, x, len(regexp_extract_all(x, '\p{{L}}')) AS letters, len(list_filter(regexp_extract_all(x, '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= 3 AND regexp_matches(w, '^[\p{{L}}\p{{Nl}}\p{{No}}]+$'))) AS w FROM l)
+SELECT id::INTEGER AS id, length(x) >= 2 AND letters >= 2 AND NOT (regexp_matches(x, '[+*=/]') AND w = 0 AND letters < 6) AS readable FROM n""")
+def ocr_lines(spark, sf_dir):
+    return rows(spark, OCR_LINES, "id int, t string").select("id", ocr.is_readable_line(F.col("t")).alias("readable"))
+
+
+OCR_TEXTS = [
+    (1, "The srate of the machirey\nx = y\n b hnite states d and more\nScanned by CamScanner 12\nSRM pahm"), (2, "State"), (3, "R12+Q1S*P2 the transition\tgoes  on"), (4, ""), (5, None),
+    (6, "Line one\r\nline\x0btwo line three"), (7, "ab&his is it, &his not"), (8, "अ हिंदी b पाठ"),
+]
+# What the rules give for these texts, written down by hand.
+OCR_CLEAN = [(1, "The states of the machines\nfinite states and more\npath"), (2, "states"), (3, "the transition goes on"), (4, ""), (5, ""), (6, "Line one\nline two\nline three"), (7, "abThis is it, &his not"), (8, "अ हिंदी पाठ")]
+
+
+@query(f"SELECT id::INTEGER AS id, t AS clean FROM {values(OCR_CLEAN, 'id, t')}")
+def ocr_sanitize(spark, sf_dir):
+    return rows(spark, OCR_TEXTS, "id int, t string").select("id", ocr.sanitize(F.col("t")).alias("clean"))
+
+
+REFLOW = [(1, "This line\ngoes on here.\nNew one\n- bullet\nafter it"), (2, "He said \"yes.\"\nThen\n\n  Para two\nends;\nx"), (3, "1.2 Heading\nbody\nNOTE: x"), (4, " \n "), (5, None)]
+REFLOWED = [(1, "This line goes on here.\nNew one\n- bullet after it"), (2, "He said \"yes.\"\nThen\n\nPara two ends;\nx"), (3, "1.2 Heading body\nNOTE: x"), (4, ""), (5, "")]
+
+
+@query(f"SELECT id::INTEGER AS id, t AS flowed FROM {values(REFLOWED, 'id, t')}")
+def ocr_reflow(spark, sf_dir):
+    return rows(spark, REFLOW, "id int, t string").select("id", ocr.reflow(F.col("t")).alias("flowed"))
+
+
+@query("""SELECT page_id, string_agg(x, '|') AS kept FROM (SELECT page_id, unnest(['a' || page_id, ' ', 'c']) AS x, unnest([page_id % 10 / 10.0, 0.9, 0.55]) AS s FROM pages) WHERE s >= 0.55 AND trim(x) <> '' GROUP BY page_id""")
+def ocr_confidence(spark, sf_dir):
+    lines = F.array(F.struct(F.concat(F.lit("a"), F.col("page_id").cast("string")).alias("text"), (F.col("page_id") % 10 / 10.0).alias("score")), F.struct(F.lit(" ").alias("text"), F.lit(0.9).alias("score")), F.struct(F.lit("c").alias("text"), F.lit(0.55).alias("score")))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(ocr.confident_lines(lines), "|").alias("kept"))
+
+
+@query(rf"""SELECT page_id, {_strip(rf"regexp_replace(regexp_replace(html, '</?[a-zA-Z][^>]*>', '', 'g'), 'class{_S}*={_S}*[''\"][^''\"]*[''\"]', '', 'g')")} AS text FROM pages""")
+def strip_markup(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.without_markup(F.col("html")).alias("text"))
+
+
+_SUMMARY = rf"""{_PAGES},
+counts AS (SELECT doc, count(*)::INTEGER AS total_pages, sum(length(content))::BIGINT AS total_characters FROM pages GROUP BY doc)"""
+
+
+@query(rf"""{_BY_TARGET},
+p AS (SELECT doc, count(*) AS n, sum(length(content)) AS chars FROM pages GROUP BY doc),
+k AS (SELECT doc, count(*) AS n, round(avg({_wc('text')}), 1) AS words, round(avg(length(text)), 1) AS chars FROM c GROUP BY doc)
+SELECT p.doc, p.n::INTEGER AS total_pages, p.chars::BIGINT AS total_characters, coalesce(k.n, 0)::INTEGER AS total_chunks, coalesce(k.words, 0)::DOUBLE AS average_chunk_words, coalesce(k.chars, 0)::DOUBLE AS average_chunk_chars
+FROM p LEFT JOIN k ON p.doc = k.doc""")
+def doc_summary(spark, sf_dir):
+    p = pages(spark, sf_dir)
+    made = chunks.assemble(units.paragraph_units(p))
+    out = summary.page_counts(p).join(summary.chunk_counts(made), "doc", "left")
+    zero = lambda c, kind: F.coalesce(c, F.lit(0)).cast(kind).alias(c)
+    return out.select("doc", "total_pages", "total_characters", zero("total_chunks", "int"), zero("average_chunk_words", "double"), zero("average_chunk_chars", "double"))
+
+
+@query(rf"WITH {_SUMMARY} SELECT count(*) AS n_docs, sum(total_pages)::BIGINT AS n_pages, sum(total_characters)::BIGINT AS n_chars, count_if(total_pages > 1)::BIGINT AS n_long FROM counts")
+def corpus_summary(spark, sf_dir):
+    p = summary.page_counts(pages(spark, sf_dir))
+    return p.agg(F.count("*").alias("n_docs"), F.sum("total_pages").alias("n_pages"), F.sum("total_characters").alias("n_chars"), F.count_if(F.col("total_pages") > 1).alias("n_long"))
+
+
+@query("""SELECT doc_id AS pos, CASE WHEN row_number() OVER (PARTITION BY c ORDER BY doc_id) > 1 THEN c || '_dup' || doc_id ELSE c END AS chunk_id
+FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'chunk_' || doc_id ELSE source || '_' || (doc_id % 50) END AS c FROM documents)""")
+def chunk_id_dedup(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat("source", F.lit("_"), (F.col("doc_id") % 50).cast("string"))).alias("chunk_id"), "text")
+    return retrieval.standardized(d).select("pos", "chunk_id")
+
+
+@query(rf"""SELECT doc_id AS pos, 1 AS page_number, 1 AS page, CASE WHEN source = 'src1' THEN 'General' ELSE source END AS section, coalesce(nullif(lang, 'de'), 'unknown') AS language, {_wc('text')}::INTEGER AS word_count, length(text)::INTEGER AS char_count FROM documents""")
+def chunk_defaults(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "text", F.when(F.col("source") != "src1", F.col("source")).alias("section"), F.when(F.col("lang") != "de", F.col("lang")).otherwise("").alias("language"))
+    return retrieval.standardized(d).select("pos", "page_number", "page", "section", "language", "word_count", "char_count")
+
+
+def _dot(a: str, b: str) -> str:
+    return f"list_dot_product({a}::DOUBLE[], {b}::DOUBLE[])"
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), "embedding")
+
+
+def _first_vector(spark, sf_dir) -> list[float]:
+    return table(spark, sf_dir, "embeddings").where("vec_id = 0").first().embedding
+
+
+@query(f"SELECT e.vec_id AS pos, round({_dot('e.embedding', 'q.embedding')}, 4) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY {_dot('e.embedding', 'q.embedding')} DESC, e.vec_id LIMIT 10")
+def vector_topk(spark, sf_dir):
+    return retrieval.top_k(_vectors(spark, sf_dir), _first_vector(spark, sf_dir), 10).select("pos", F.round("score", 4).alias("score"))
+
+
+@query(f"SELECT pos, round(s, 4) AS score FROM (SELECT e.vec_id AS pos, {_dot('e.embedding', 'q.embedding')} AS s FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY s DESC, e.vec_id LIMIT 50) WHERE s >= 0.25")
+def vector_topk_threshold(spark, sf_dir):
+    return retrieval.top_k(_vectors(spark, sf_dir), _first_vector(spark, sf_dir), 50, 0.25).select("pos", F.round("score", 4).alias("score"))
+
+
+@query(f"""SELECT query_id, rank::INTEGER AS rank, pos, round(s, 4) AS score FROM (
+  SELECT q.vec_id AS query_id, e.vec_id AS pos, {_dot('e.embedding', 'q.embedding')} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_dot('e.embedding', 'q.embedding')} DESC, e.vec_id) AS rank
+  FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 5""")
+def vector_topk_batch(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    q = v.where("pos % 50 = 0").select(F.col("pos").alias("query_id"), F.col("embedding").alias("query"))
+    return retrieval.top_k_batch(v, q, 5).select("query_id", "rank", "pos", F.round("score", 4).alias("score"))
+
+
+@query()
+def embed_hash(spark, sf_dir):
+    out = retrieval.embed(docs(spark, sf_dir), retrieval.HashingEmbedder(64))
+    return out.select("doc", F.size("embedding").alias("dim"), F.round(retrieval.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"))
+
+
+@query()
+def retrieve_chunks(spark, sf_dir):
+    made = chunks.assemble(units.paragraph_units(pages(spark, sf_dir))).withColumn("pos", F.xxhash64("chunk_id"))
+    return retrieval.retrieve(retrieval.build_index(made, retrieval.HashingEmbedder()), "the and of tion", retrieval.HashingEmbedder(), 10).drop("metadata")
+
+
+def _shared(spark, name: str) -> str:
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/quire-checkpoints"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(rf"WITH {_SUMMARY} SELECT doc AS document_name, total_pages, total_characters FROM counts")
+def json_roundtrip(spark, sf_dir):
+    """Payloads written as JSON and read again."""
+    from quire.sources import files, sinks
+
+    d = docs(spark, sf_dir)
+    p = pages(spark, sf_dir)
+    made = chunks.assemble(units.paragraph_units(p))
+    analysis = languages.analyze(d, languages.evidence(p))
+    place = sinks.write_payloads(summary.payloads(p, made, analysis), _shared(spark, "payloads"))
+    return files.read_payload_lines(spark, place).select("document_name", "total_pages", "total_characters")
+
+
+@query("SELECT vec_id AS pos, 'chunk_' || vec_id AS chunk_id, len(embedding)::INTEGER AS dim FROM embeddings")
+def index_roundtrip(spark, sf_dir):
+    """An index saved and loaded again."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), F.lit("t").alias("text"), "embedding")
+    index = retrieval.standardized(v.drop("embedding")).join(v.select("pos", "embedding"), "pos").select(*retrieval.INDEX_COLUMNS)
+    place = retrieval.save_index(index, _shared(spark, "index"))
+    return retrieval.load_index(spark, place).select("pos", "chunk_id", F.size("embedding").alias("dim"))
+
+
+@query("SELECT 0::BIGINT AS missing")
+def coverage_check(spark, sf_dir):
+    """Units whose text is in no chunk of their document: none."""
+    u = units.paragraph_units(pages(spark, sf_dir))
+    whole = chunks.assemble(u).groupBy(F.col("document_name").alias("doc")).agg(F.array_join(F.collect_list("text"), "\n\n").alias("all"))
+    return u.join(whole, "doc", "left").where(~F.coalesce(F.contains("all", "text"), F.lit(False))).agg(F.count("*").alias("missing"))
+
+
+@query("SELECT 0::BIGINT AS out_of_order")
+def order_check(spark, sf_dir):
+    """Chunks that begin before, or stand on an earlier page than, the one before them: none."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("document_name").orderBy("chunk_index")
+    c = chunks.assemble(units.paragraph_units(pages(spark, sf_dir))).select("char_start", "page_number", F.lag("char_start").over(w).alias("s"), F.lag("page_number").over(w).alias("p"))
+    return c.where("char_start <= s or page_number < p").agg(F.count("*").alias("out_of_order"))
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
