@@ -252,14 +252,11 @@ def repeated_spans(docs: DataFrame, min_len: int = 200, keep: str = "none", gram
     some = found.join(often, "h").groupBy(*_KEY).agg(F.collect_set(F.struct("h", "first", "n", "often")).alias("at"))
     dealt = _blobs(own.dropDuplicates(_KEY) if keep == "first" else own, some, min_len, part).repartition("h", "part").sortWithinPartitions("h", "part")
     got = dealt.mapInArrow(lambda b: _ordered(b, min_len, keep == "first"), "did long, th int, start long, end long, a long, b long")
-    sure = got.where("a is null").select(*_KEY, "start", "end")
-    open_ = got.where("a is not null")
-    if keep == "none":
-        again = open_.join(open_.groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1"), ["a", "b"])
-    else:
-        firsts = open_.groupBy("a", "b").agg(F.min(F.struct(*_KEY, "start")).alias("f"), F.count("*").alias("c")).where("c > 1")
-        again = open_.join(firsts, ["a", "b"]).where(F.struct(*_KEY, "start") != F.col("f"))
-    spans = sure.unionByName(again.select(*_KEY, "start", "end"))
+    # got is read once: runs that are sure pass through the grouping of classes one by one.
+    sure = F.col("a").isNull()
+    met = got.groupBy(sure.alias("sure"), F.coalesce("a", F.xxhash64(*_KEY, "start")).alias("a"), "b").agg(F.array_sort(F.collect_list(F.struct(*_KEY, "start", "end"))).alias("s"))
+    again = F.col("s") if keep == "none" else F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0)))
+    spans = met.where("sure or size(s) > 1").select(F.explode(F.when(F.col("sure"), F.col("s")).otherwise(again)).alias("s")).select("s.*")
     return spans.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
