@@ -28,17 +28,18 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 #: Rotations of all dimensions, bits of a substring, standard deviations of margin, and vectors rotations are fitted on.
-ROTATIONS, SUB, MARGIN, FITTED = 4, 16, 1.3, 8192
+ROTATIONS, SUB, MARGIN, FITTED = 4, 16, 1.0, 8192
 #: Index rows and queries in one block.
 INDEX_BLOCK, QUERY_BLOCK = 16_384, 4096
 
 
 @dataclass
 class Codes:
-    """rotations: (dims + 1) x bits. scale: the largest norm."""
+    """rotations: dims x bits, with one dimension more where vectors differ in length. scale: the largest norm."""
 
     rotations: np.ndarray
     scale: float
+    lift: bool = True
 
     @property
     def bits(self) -> int:
@@ -46,7 +47,9 @@ class Codes:
 
     def lifted(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         """Unit vectors whose cosines have the order of inner products: an index vector's missing length goes into one
-        more dimension, which queries leave empty."""
+        more dimension, which queries leave empty. Vectors of one length need none."""
+        if not self.lift:
+            return x / np.linalg.norm(x, axis=1, keepdims=True)
         if query:
             return np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))])
         x = x / self.scale
@@ -63,9 +66,9 @@ class Codes:
         return np.ceil(self.bits * p + margin * np.sqrt(self.bits * p * (1 - p))).astype(int)
 
 
-def learn(sample: np.ndarray, scale: float, rotations: int = ROTATIONS, rounds: int = 20, seed: int = 1) -> Codes:
+def learn(sample: np.ndarray, scale: float, lift: bool = True, rotations: int = ROTATIONS, rounds: int = 20, seed: int = 1) -> Codes:
     """Each rotation starts at random and is turned towards the signs it gives."""
-    codes = Codes(np.zeros((0, 0)), scale)
+    codes = Codes(np.zeros((0, 0)), scale, lift)
     x = codes.lifted(sample)
     dims = x.shape[1]
     rnd = np.random.default_rng(seed)
@@ -96,12 +99,15 @@ class MultiIndex:
     """Substring tables over one block of codes."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes, self.words = codes, np.ascontiguousarray(codes).view("<u4")
-        self.tables = []
-        for t in range(codes.shape[1]):
-            order = np.argsort(codes[:, t], kind="stable")
-            keys, starts = np.unique(codes[order, t], return_index=True)
-            self.tables.append((keys, np.append(starts, len(order)), order, np.searchsorted(keys, codes[:, t])))
+        self.codes, self.words = codes, np.ascontiguousarray(self._wide(codes).T)
+        #: For each substring its distinct values, and for each code the place of its value.
+        self.tables = [np.unique(codes[:, t], return_inverse=True) for t in range(codes.shape[1])]
+
+    @staticmethod
+    def _wide(codes: np.ndarray) -> np.ndarray:
+        """Codes as rows of 64-bit words."""
+        codes = np.atleast_2d(codes)
+        return np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -codes.shape[1] % 4)))).view("<u8")
 
     def within(self, code: np.ndarray, r: int) -> np.ndarray:
         """Rows of all codes that differ from code in at most r bits."""
@@ -109,18 +115,20 @@ class MultiIndex:
         near = r // m
         probes = sum(math.comb(SUB, k) for k in range(min(near, SUB) + 1))
         hit = np.zeros(len(self.codes), bool)
-        for t, (keys, starts, order, key_of) in enumerate(self.tables):
-            if probes < len(keys):
+        for t, (keys, key_of) in enumerate(self.tables):
+            if probes * 16 < len(keys):
                 wanted = code[t] ^ masks(near)
-                at = np.searchsorted(keys, wanted)
-                at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == wanted)]
-                for a in at:
-                    hit[order[starts[a] : starts[a + 1]]] = True
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                found = np.zeros(len(keys), bool)
+                found[at[keys[at] == wanted]] = True
             else:
-                # More values to probe than the table has: its values are compared instead.
-                hit |= (np.bitwise_count(keys ^ code[t]) <= near)[key_of]
+                # Comparing all values of the table costs less than that many probes.
+                found = np.bitwise_count(keys ^ code[t]) <= near
+            hit |= found[key_of]
         rows = np.flatnonzero(hit)
-        apart = np.bitwise_count(self.words[rows] ^ np.ascontiguousarray(code).view("<u4")).sum(1, dtype=np.int64)
+        apart = np.zeros(len(rows), np.uint16)
+        for word, mine in zip(self.words, self._wide(code)[0], strict=True):
+            apart += np.bitwise_count((word if len(rows) == len(word) else word[rows]) ^ mine)
         return rows[apart <= r]
 
     def best(self, codes: Codes, x: np.ndarray, q: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,10 +169,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         return rows.where(fine)
 
     schema = "query_id long, rank int, id long, score double"
+    spark = vectors.sparkSession
     given = usable(vectors)
     lengths = given.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     if not lengths:
-        return vectors.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_col)
+        return spark.createDataFrame([], schema).withColumnRenamed("id", id_col)
     given = given.where(F.size("v") == lengths[0].n).distinct()
     # Of equal vectors only the k + 1 smallest ids can be among anyone's k.
     one = Window.partitionBy("v").orderBy("id")
@@ -173,9 +182,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     asked = checkpointed(asking.select("rep").distinct().join(entries, "rep").select("rep", "v"))
 
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    scale = entries.agg(F.max(norm)).first()[0]
+    least, scale = entries.agg(F.min(norm), F.max(norm)).first()
     sample = entries.select("v").orderBy(F.xxhash64("rep"), "rep").limit(fitted).toArrow()
-    codes = learn(_vectors(sample["v"]), scale)
+    codes = learn(_vectors(sample["v"]), scale, least < scale * (1 - 1e-6))
     shards, blocks = (max(1, -(-df.count() // size)) for df, size in ((entries, index_block), (asked, query_block)))
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
