@@ -6,7 +6,7 @@ from .byte_bpe import op10_byte_bpe
 from .matroska import op9_matroska
 from .mixing import OP7_SQL, op7_mix_sources
 from .nearest import op4_nearest
-from .ngram_join import op6_ngram_join
+from .ngram_join import OP6_SQL, op6_ngram_join
 from .pii import op2_pii_pseudonyms
 from .quality import op5_quality
 from .secrets import op1_secret_scan
@@ -19,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mix_sources": OP7_SQL}
+    return {"op6_ngram_join": OP6_SQL, "op7_mix_sources": OP7_SQL}

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, raw, small_batches, texts
+from .common import checkpointed, claim, raw, small_batches
 from .components import connected
 
 U = np.uint64
@@ -43,7 +43,7 @@ class _Words(dict):
     """Hashes of words, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -211,6 +211,7 @@ def groups_of(sets: list[np.ndarray], percent: int) -> list[int]:
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    claim("ngram_join", _WORDS.clear)
     held, chars = [], 0
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -523,4 +524,20 @@ def one_of_each(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    return ngram_components(table(spark, sf_dir, "documents"))
+    return ngram_components(table(spark, sf_dir, "documents")).drop("class")
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(l[i : i + 4], ' ') AS g
+  FROM w, LATERAL (SELECT unnest(range(1, greatest(len(l) - 3, 2))) AS i) WHERE len(l) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS u, y.doc_id AS v, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS (SELECT u, v FROM b JOIN n p ON p.doc_id = u JOIN n q ON q.doc_id = v WHERE 100 * c >= 75 * (p.n + q.n - c)),
+r AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(v) FROM r WHERE r.u = d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+"""
