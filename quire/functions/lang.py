@@ -95,3 +95,11 @@ def chunk_language(c: Column, default: Column, allowed: Column, classify: Classi
     judged = lambda best: F.when((best["prob"] >= 0.85) & (allowed.isNull() | F.array_contains(allowed, best["lang"])), best["lang"]).otherwise(default)
     guessed = lambda text: F.when(F.length(text) < 60, default).otherwise(let(classify(text), judged))
     return let(script(c, 10), lambda found: F.when(found.isNotNull(), found).otherwise(let(prose(c), guessed)))
+
+
+def shown_label(breakdown: Column) -> Column:
+    """What a page about a document shows for a breakdown array<struct<lang, pct>>: one name, or all with shares.
+    Unlike the summary it shows all of several languages however large the first one's share is."""
+    name = lambda x: F.concat(language_name(x["lang"]), F.lit(" ("), x["lang"], F.lit(")"))
+    share = lambda x: F.concat(name(x), F.lit(" - "), F.format_string("%.0f%%", F.bround(x["pct"], 0)))
+    return F.when(F.size(breakdown) > 1, F.array_join(F.transform(breakdown, share), ", ")).otherwise(name(breakdown[0]))

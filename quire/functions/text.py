@@ -154,3 +154,7 @@ def embedding_text(c: Column) -> Column:
 
 def strategy_label(c: Column) -> Column:
     return F.when(c == "llama3.2_semantic", "Semantic (advised)").when(F.contains(c, F.lit("fallback")), "Deterministic (fallback)").otherwise("Deterministic")
+
+
+def thousands(c: Column) -> Column:
+    return F.format_number(c, 0)

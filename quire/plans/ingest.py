@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.config import Settings
 from quire.functions import lang
 from quire.operators import advice, chunks, languages, retrieval, summary, units
+from quire.schemas import RESULT_SCHEMA
 from quire.sources import files
 
 
@@ -40,5 +42,11 @@ def ingest(spark: SparkSession, path: str | list[str], settings: Settings | None
     return ingest_pages(pages, settings, advisor, found.drop("content"))
 
 
-def search(spark: SparkSession, index_path: str, query: str, top: int = 5, threshold: float | None = None, embedder: retrieval.Embedder | None = None) -> DataFrame:
-    return retrieval.retrieve(retrieval.load_index(spark, index_path), query, embedder or retrieval.HashingEmbedder(), top, threshold)
+def search(spark: SparkSession, index_path: str | None, query: str, top: int = 5, threshold: float | None = None, embedder: retrieval.Embedder | None = None) -> DataFrame:
+    """Results from an index, or from the newest one in the settings' index folder; none where there is none."""
+    embedder = embedder or retrieval.HashingEmbedder()
+    index_path = index_path or files.latest(spark, f"{Settings.from_session(spark).index_dir}/*")
+    if index_path is None:
+        logging.getLogger(__name__).warning("there is no index yet")
+        return spark.createDataFrame([], RESULT_SCHEMA)
+    return retrieval.retrieve(retrieval.load_index(spark, index_path), query, embedder, top, threshold)

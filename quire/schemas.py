@@ -22,3 +22,8 @@ RESULT_COLUMNS = [
     "chunk_id", "text", "original_text", "page", "page_number", "section", "language", "similarity_score", "score",
     "document_name", "chunk_index", "word_count", "char_count", "char_start", "char_end", "source_type", "ocr_applied", "metadata",
 ]
+RESULT_SCHEMA = (
+    "chunk_id string, text string, original_text string, page int, page_number int, section string, language string, "
+    "similarity_score double, score double, document_name string, chunk_index int, word_count int, char_count int, "
+    "char_start int, char_end int, source_type string, ocr_applied boolean, metadata map<string,string>"
+)

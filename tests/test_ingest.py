@@ -97,6 +97,24 @@ def test_whole_way(spark, folder, tmp_path):
     assert files.latest(spark, str(tmp_path / "ind*")).endswith("/index") and files.latest(spark, str(tmp_path / "zzz*")) is None
 
 
+def test_newest_index(spark, tmp_path):
+    spark.conf.set("spark.quire.index_dir", str(tmp_path))
+    try:
+        assert ingest.search(spark, None, "x").columns == retrieval.RESULT_COLUMNS and ingest.search(spark, None, "x").count() == 0
+        index = retrieval.build_index(spark.createDataFrame([(0, "some words")], "pos int, text string"), retrieval.HashingEmbedder())
+        retrieval.save_index(index, str(tmp_path / "a"))
+        assert ingest.search(spark, None, "words").count() == 1
+    finally:
+        spark.conf.unset("spark.quire.index_dir")
+
+
+def test_engines():
+    from quire.sources import engines
+
+    if engines.name() == "none":
+        assert engines.best(b"picture") == "" and engines.tesseract() is None and engines.rapid() is None
+
+
 def test_arriving_files(spark, folder, tmp_path):
     run = lambda: streaming.ingest_stream(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "cp"), Settings(semantic_chunking_enabled=False), "*.{TXT,md}").awaitTermination(120)
     run()

@@ -81,3 +81,11 @@ def test_document_shares(spark):
     assert [tuple(x) for x in got["a"].breakdown] == [("ta", 37.6), ("hi", 35.8), ("en", 26.6)]
     assert got["b"].detected_languages == ["en", "de"] and got["b"].summary_display == "English (en)" and got["c"].detected_languages == ["en"]
     assert [tuple(x) for x in got["d"].breakdown] == [("en", 100.0)] and not got["d"].is_multilingual
+
+
+def test_labels(spark):
+    kind = "array<struct<lang:string,pct:double>>"
+    assert one(spark, [("en", 95.0), ("fr", 5.0)], lang.shown_label, kind) == "English (en) - 95%, French (fr) - 5%"
+    assert one(spark, [("xx", 100.0)], lang.shown_label, kind) == "XX (xx)"
+    assert one(spark, 1234567, text.thousands, "int") == "1,234,567"
+    assert one(spark, "llama3.2_semantic", text.strategy_label) == "Semantic (advised)" and one(spark, "deterministic_fallback", text.strategy_label) == "Deterministic (fallback)"
