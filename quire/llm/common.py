@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +52,18 @@ def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+_CLEAR: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, clear: Callable[[], None]) -> None:
+    """Called where an operator with a table of its own starts in a worker. Workers live on from stage to stage, so the
+    tables that other operators have left there are let go."""
+    for other, f in _CLEAR.items():
+        if other != name:
+            f()
+    _CLEAR[name] = clear
+
+
 def batches_by_bytes(rows: Iterator, weight, limit: int) -> Iterator[list]:
     """Lists of rows whose weights add up to about limit; a heavier row is alone."""
     held, total = [], 0

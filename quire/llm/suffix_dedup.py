@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw, sha256, small_batches, texts
+from .common import claim, raw, sha256, small_batches, texts
 
 U = np.uint64
 #: Length of the k-grams that anchors are chosen from.
@@ -55,6 +55,7 @@ _tables: dict[int, _Tables] = {}
 
 
 def tables(n: int) -> _Tables:
+    claim("suffix_dedup", _tables.clear)
     if n not in _tables:
         _tables[n] = _Tables(n)
     return _tables[n]
@@ -183,12 +184,17 @@ def _blobs(own: DataFrame, some: DataFrame, min_len: int, part: int) -> DataFram
 ORDERED = 2 << 20
 
 
+#: A span is one number: its start above these bits, its end in them.
+SHIFT = 32
+
+
 def _ordered(batches: Iterator[pa.RecordBatch], min_len: int, first_stays: bool) -> Iterator[pa.RecordBatch]:
     """Runs of repeated windows, from rows in order of anchor and part. Rows with a fingerprint stand for
     the windows of a class in one part of an anchor; with them the parts meet."""
 
     def out(did, th, start, end, a=None, b=None):
-        return pa.RecordBatch.from_arrays([pa.array(did, pa.int64()), pa.array(th, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(a, pa.int64()) if a is not None else pa.nulls(len(did), pa.int64()), pa.array(b, pa.int64()) if b is not None else pa.nulls(len(did), pa.int64())], [*_KEY, "start", "end", "a", "b"])
+        a, b = (pa.nulls(len(did), pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (a, b))
+        return pa.RecordBatch.from_arrays([pa.array(did, pa.int64()), pa.array(th, pa.int32()), pa.array(start.astype(np.int64) << SHIFT | end, pa.int64()), a, b], [*_KEY, "span", "a", "b"])
 
     def work(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
@@ -238,8 +244,8 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, min_len: int = 200, keep: str = "none", gram: int = GRAM, part: int = PART, id_col: str = "doc_id", text_col: str = "text", _own: DataFrame | None = None) -> DataFrame:
-    """(did, th, spans): for each document with repeated passages, the byte ranges (start, end) that windows of
-    min_len repeated bytes cover; ranges can overlap. did is the id, -1 for null; th is a hash of the text.
+    """(did, th, spans): for each document with repeated passages, the byte ranges that windows of min_len repeated bytes
+    cover, each as one number (see SHIFT); ranges can overlap. did is the id, -1 for null; th is a hash of the text.
 
     keep: "none" takes every occurrence, "first" all but the one with the smallest (id, place). Rows alike in id and
     text repeat each other with "none" and are one document with "first".
@@ -251,13 +257,17 @@ def repeated_spans(docs: DataFrame, min_len: int = 200, keep: str = "none", gram
     often = found.groupBy("h").agg(F.count("*").alias("often")).where("often > 1")
     some = found.join(often, "h").groupBy(*_KEY).agg(F.collect_set(F.struct("h", "first", "n", "often")).alias("at"))
     dealt = _blobs(own.dropDuplicates(_KEY) if keep == "first" else own, some, min_len, part).repartition("h", "part").sortWithinPartitions("h", "part")
-    got = dealt.mapInArrow(lambda b: _ordered(b, min_len, keep == "first"), "did long, th int, start long, end long, a long, b long")
-    # got is read once: runs that are sure pass through the grouping of classes one by one.
+    got = dealt.mapInArrow(lambda b: _ordered(b, min_len, keep == "first"), "did long, th int, span long, a long, b long")
+    # got is read once: runs that are sure are grouped by document, the others by class.
     sure = F.col("a").isNull()
-    met = got.groupBy(sure.alias("sure"), F.coalesce("a", F.xxhash64(*_KEY, "start")).alias("a"), "b").agg(F.array_sort(F.collect_list(F.struct(*_KEY, "start", "end"))).alias("s"))
-    again = F.col("s") if keep == "none" else F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0)))
-    spans = met.where("sure or size(s) > 1").select(F.explode(F.when(F.col("sure"), F.col("s")).otherwise(again)).alias("s")).select("s.*")
-    return spans.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    met = got.groupBy(sure.alias("sure"), F.coalesce("a", "did").alias("a"), F.coalesce("b", "th").alias("b")).agg(
+        F.collect_list(F.when(sure, F.col("span"))).alias("own"), F.array_sort(F.collect_list(F.when(~sure, F.struct(*_KEY, "span")))).alias("some")
+    )
+    again = F.when(F.size("some") > 1, F.col("some") if keep == "none" else F.slice("some", 2, F.greatest(F.size("some") - 1, F.lit(0))))
+    one = F.array(F.struct(F.col("a").alias("did"), F.col("b").cast("int").alias("th"), F.col("own").alias("spans")))
+    each = F.transform(again, lambda x: F.struct(x["did"].alias("did"), x["th"].alias("th"), F.array(x["span"]).alias("spans")))
+    rows = met.select(F.explode(F.when(F.col("sure"), one).otherwise(each)).alias("s")).select("s.*")
+    return rows.groupBy(*_KEY).agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -288,7 +298,7 @@ def remove_repeats(docs: DataFrame, min_len: int = 200, keep: str = "none", dige
             for t, s in zip(texts(batch.column("text")), batch.column("spans"), strict=True):
                 data, gone = raw(t), []
                 if s.is_valid:
-                    gone = merged(zip(*(s.values.field(c).to_pylist() for c in ("start", "end")), strict=True))
+                    gone = merged([(x >> SHIFT, x & ((1 << SHIFT) - 1)) for x in s.values.to_pylist()])
                 edges = [0, *(x for span in gone for x in span), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if gone else data
                 rows.append((len(data), sum(b - a for a, b in gone), len(gone), sha256(kept) if digest else kept))
