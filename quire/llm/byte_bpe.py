@@ -18,9 +18,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import batches_by_bytes, raw, segments, sha256, small_batches, texts
+from .common import batches_by_bytes, claim, raw, segments, sha256, small_batches, texts
 
-#: Words whose ids are remembered in one worker, and their longest; about 120 MB.
+#: Words whose ids are remembered in one worker, and their longest; about 100 MB.
 KEPT, KEPT_CHARS = 500_000, 48
 #: Characters encoded at once.
 BATCH = 2 << 20
@@ -93,7 +93,7 @@ class Bpe:
                 i += 1
             else:
                 break
-        if len(self._pairs) > 2_000_000:
+        if len(self._pairs) > 500_000:
             self._pairs.clear()
         self._pairs[left, right] = found
         return found
@@ -171,7 +171,11 @@ class Remembered:
     starts from the last tokens of the prefixes it shares with the one before."""
 
     def __init__(self, bpe: Bpe, kept: int = KEPT):
-        self.bpe, self.kept, self.ids, self.strings = bpe, kept, {}, {}
+        self.bpe, self.kept, self.ids = bpe, kept, {}
+        top = max(bpe.token) + 1
+        #: By id: the token's bytes, and the id in decimal form.
+        self.bytes = [bpe.token.get(i, b"") for i in range(top)]
+        self.decimal = [str(i) for i in range(top)]
 
     def learn(self, words: set[str]) -> None:
         before, last = b"", []
@@ -183,21 +187,20 @@ class Remembered:
                 before = data
             else:
                 found = [found]
-            self.ids[w] = found
-            self.strings[w] = ",".join(map(str, found))
+            self.ids[w] = tuple(found)
 
-    def encode(self, batch: list[str]) -> Iterator[tuple[list[int], str]]:
-        """For each text its ids, and their decimal form joined by commas."""
+    def encode(self, batch: list[str]) -> Iterator[list[int]]:
+        """For each text its ids."""
         cut = [[w for part in segments(t) for w in self.bpe.pattern.findall(part)] for t in batch]
         new = set(chain.from_iterable(cut)).difference(self.ids)
         self.learn(new)
         for words in cut:
-            yield list(chain.from_iterable(map(self.ids.__getitem__, words))), ",".join(map(self.strings.__getitem__, words))
+            yield list(chain.from_iterable(map(self.ids.__getitem__, words)))
         # The words that came first stay: the frequent ones are among them.
         over = len(self.ids) - self.kept
         for w in new:
             if len(w) > KEPT_CHARS or over > 0:
-                del self.ids[w], self.strings[w]
+                del self.ids[w]
                 over -= 1
 
 
@@ -206,6 +209,7 @@ _ENCODERS: dict[tuple[str, str], Remembered] = {}
 
 def encoder(path: str, pattern: str) -> Remembered:
     """This worker's encoder."""
+    claim("byte_bpe", _ENCODERS.clear)
     if (path, pattern) not in _ENCODERS:
         _ENCODERS[path, pattern] = Remembered(Bpe(read_ranks(path), pattern))
     return _ENCODERS[path, pattern]
@@ -221,7 +225,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
         for batch in batches:
-            ids = [x for part in batches_by_bytes(iter(texts(batch.column(1))), len, BATCH) for x, _ in enc.encode(part)]
+            ids = [x for part in batches_by_bytes(iter(texts(batch.column(1))), len, BATCH) for x in enc.encode(part)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["id", "n_tokens", "ids"])
 
     rows = small_batches(docs).select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
@@ -250,10 +254,10 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
         for batch in batches:
             n, a, b = [], [], []
             for part in batches_by_bytes(iter(texts(batch.column(1))), len, BATCH):
-                for ids, string in enc.encode(part):
+                for ids in enc.encode(part):
                     n.append(len(ids))
-                    a.append(sha256(string.encode()))
-                    b.append(sha256(enc.bpe.decode(ids)))
+                    a.append(sha256(",".join(map(enc.decimal.__getitem__, ids)).encode()))
+                    b.append(sha256(b"".join(map(enc.bytes.__getitem__, ids))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = small_batches(docs).select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))

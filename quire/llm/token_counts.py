@@ -14,7 +14,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import SAFE_CUT, batches_by_bytes, raw, small_batches, texts
+from .common import SAFE_CUT, batches_by_bytes, claim, raw, small_batches, texts
 
 #: Bytes in one call to the library.
 CALL_BYTES = 1 << 18
@@ -64,6 +64,7 @@ _LENGTHS: dict[str, Lengths] = {}
 
 
 def _lengths(path: str) -> Lengths:
+    claim("token_counts", _LENGTHS.clear)
     if path not in _LENGTHS:
         _LENGTHS[path] = Lengths(path)
     return _LENGTHS[path]
