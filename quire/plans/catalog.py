@@ -311,7 +311,7 @@ def _given_language(p: DataFrame, d: DataFrame) -> DataFrame:
 _NAMES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lang.NAMES.items())
 
 
-@query(rf"""WITH {_PAGES},
+_SHARES = rf"""WITH {_PAGES},
 q AS (SELECT p.doc, page_number, d.lang, content || chr(10) || chr(10) || CASE WHEN page_number % 4 = 1 THEN 'नमस्ते दुनिया यह हिंदी पाठ है और लंबा है' ELSE '' END AS t FROM pages p JOIN documents d ON p.doc = d.doc_id::VARCHAR),
 b AS (SELECT doc, page_number, i AS para, lang, {_strip('x')} AS p FROM q, LATERAL (SELECT unnest(range(1, len(string_split_regex(t, '\n{_S}*\n')) + 1)) AS i), LATERAL (SELECT string_split_regex(t, '\n{_S}*\n')[i] AS x)),
 s AS (SELECT *, {_script('p', 10)} AS script, {_prose('p')} AS prose FROM b WHERE length(p) >= 20),
@@ -320,7 +320,10 @@ g AS (SELECT doc, lang, sum(weight) AS weight, min(page_number * 1000000 + para)
 h AS (SELECT *, weight / sum(weight) OVER (PARTITION BY doc) * 100.0 AS pct FROM g),
 k AS (SELECT *, max(pct) OVER (PARTITION BY doc) AS most, row_number() OVER (PARTITION BY doc ORDER BY pct DESC, first) AS r FROM h),
 l AS (SELECT doc, lang, first, round(pct / sum(pct) OVER (PARTITION BY doc) * 100.0, 1) AS pct FROM k WHERE pct >= 8.0 OR (most < 8.0 AND r = 1)),
-a AS (SELECT doc, list(lang ORDER BY pct DESC, first) AS langs, list(pct ORDER BY pct DESC, first) AS pcts FROM l GROUP BY doc)
+a AS (SELECT doc, list(lang ORDER BY pct DESC, first) AS langs, list(pct ORDER BY pct DESC, first) AS pcts FROM l GROUP BY doc)"""
+
+
+@query(rf"""{_SHARES}
 SELECT d.doc_id::VARCHAR AS doc, coalesce(langs[1], 'en') AS primary_language, array_to_string(coalesce(langs, ['en']), ',') AS detected, coalesce(pcts[1], 100.0)::DOUBLE AS top_pct, coalesce(len(langs) > 1, false) AS is_multilingual
 FROM documents d LEFT JOIN a ON a.doc = d.doc_id::VARCHAR""")
 def language_breakdown(spark, sf_dir):
@@ -329,7 +332,14 @@ def language_breakdown(spark, sf_dir):
     return a.select("doc", "primary_language", F.array_join("detected_languages", ",").alias("detected"), F.col("breakdown")[0]["pct"].alias("top_pct"), "is_multilingual")
 
 
-@query()
+def _named(x: str) -> str:
+    return f"CASE {x} {_NAMES} ELSE upper({x}) END || ' (' || {x} || ')'"
+
+
+@query(rf"""{_SHARES}
+SELECT d.doc_id::VARCHAR AS doc, CASE WHEN langs IS NULL THEN 'English (en)' WHEN len(langs) = 1 OR pcts[1] >= 90 THEN {_named('langs[1]')}
+  ELSE array_to_string(list_transform(range(1, len(langs) + 1), lambda i: {_named('langs[i]')} || ' — ' || round_even(pcts[i], 0)::INTEGER || '%'), ', ') END AS summary_display
+FROM documents d LEFT JOIN a ON a.doc = d.doc_id::VARCHAR""")
 def language_summary(spark, sf_dir):
     d = docs(spark, sf_dir)
     return languages.analyze(d, _given_language(pages(spark, sf_dir), d)).select("doc", "summary_display")
