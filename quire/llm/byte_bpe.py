@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from itertools import chain
-from os.path import commonprefix
 
 import pyarrow as pa
 import regex
@@ -42,10 +41,8 @@ class Bpe:
         self._edges: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
         #: Tokens that merging their bytes gives back; others are only ever whole words.
         self.whole = {b: i for b, i in ranks.items() if len(b) == 1 or self.merged(b) == [b]}
-        #: The longest token with these last two bytes.
-        self.reach: dict[bytes, int] = {}
-        for b in self.whole:
-            self.reach[b[-2:]] = max(len(b), self.reach.get(b[-2:], 1))
+        #: All ends of these tokens: the token, or -1 where an end is none itself.
+        self.ends = {b[k:]: -1 for b in self.whole for k in range(1, len(b))} | self.whole
 
     def merged(self, data: bytes, until: int = 1) -> list[bytes]:
         """Parts after repeated merging of the lowest-ranked neighbours, leftmost first: the definition, for short
@@ -101,21 +98,25 @@ class Bpe:
     def extend(self, data: bytes, last: list[int], start: int) -> list[int]:
         """Fills last[i], the last token of data's prefix of i + 1 bytes, from i = start on; those before hold."""
         del last[start:]
-        get, reach, pairs, valid = self.whole.get, self.reach.get, self._pairs.get, self.valid
+        ends, pairs, valid = self.ends.get, self._pairs.get, self.valid
         for i in range(start + 1, len(data) + 1):
-            low = i - reach(data[i - 2 : i] if i > 1 else data[:1], 1)
-            for j in range(low if low > 0 else 0, i):
-                t = get(data[j:i])
-                if t is not None:
-                    if j:
-                        p = last[j - 1]
-                        ok = pairs((p, t))
-                        if ok is None:
-                            ok = valid(p, t)
-                        if not ok:
-                            continue
-                    last.append(t)
+            # Tokens that end here, found backwards as long as any token ends with these bytes; the longest is tried first.
+            found = []
+            for j in range(i - 1, -1, -1):
+                t = ends(data[j:i])
+                if t is None:
                     break
+                if t >= 0:
+                    found.append((j, t))
+            while found:
+                j, t = found.pop()
+                if j:
+                    p = last[j - 1]
+                    ok = pairs((p, t))
+                    if not (valid(p, t) if ok is None else ok):
+                        continue
+                last.append(t)
+                break
             else:
                 raise ValueError(f"no token for byte {data[i - 1]}")
         return last
@@ -182,7 +183,11 @@ class Remembered:
         for data, w in sorted((raw(w), w) for w in words):
             found = self.bpe.ranks.get(data)
             if found is None:
-                n = len(commonprefix((before, data)))
+                n = 0
+                for x, y in zip(before, data, strict=False):
+                    if x != y:
+                        break
+                    n += 1
                 found = self.bpe.path(self.bpe.extend(data, last, n))
                 before = data
             else:
