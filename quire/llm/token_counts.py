@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 
 from .common import SAFE_CUT, batches_by_bytes, claim, raw, small_batches, texts
 
-#: Bytes in one call to the library.
-CALL_BYTES = 1 << 18
+#: Bytes in one call to the library, and of the texts whose pieces are looked up together.
+CALL_BYTES, BATCH_BYTES = 1 << 18, 4 << 20
 #: Pieces whose length is remembered in one worker; about 100 MB at most, as longer pieces aren't kept.
 KEPT, KEPT_CHARS = 800_000, 64
 
@@ -39,7 +39,7 @@ class Lengths:
 
     def encoded(self, pieces: list[str]) -> list[int]:
         out = []
-        for call in batches_by_bytes(iter(pieces), len, self.call_bytes):
+        for call in batches_by_bytes(iter(pieces), lambda p: len(raw(p)), self.call_bytes):
             out += [len(e) for e in self.tokenizer.encode_batch_fast(call, add_special_tokens=False)]
         return out
 
@@ -82,11 +82,12 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         lengths = _lengths(path)
         for batch in batches:
             t = texts(batch.column(1))
+            size = [len(raw(x)) for x in t]
             n = []
-            for part in batches_by_bytes(iter(t), len, 4 << 20):
-                n += lengths.count(part)
+            for part in batches_by_bytes(zip(t, size, strict=True), lambda x: x[1], BATCH_BYTES):
+                n += lengths.count([x for x, _ in part])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(raw(x)) for x in t], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 ["id", "n_bytes", "n_tokens", "over_limit"],
             )
 
