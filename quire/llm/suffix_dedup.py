@@ -240,14 +240,14 @@ def _ordered(batches: Iterator[pa.RecordBatch], min_len: int, first_stays: bool)
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of equal id and text may share a key: they repeat each other and have the same result."""
     text = F.coalesce(docs[text_col], F.lit(""))
-    return small_batches(docs).select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[id_col].cast("long"), F.lit(-1)).alias("did"), F.hash(text).alias("th"), text.alias("text"))
+    return small_batches(docs).select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[id_col].cast("long"), F.xxhash64(text)).alias("did"), F.hash(text).alias("th"), text.alias("text"))
 
 
 def repeated_spans(docs: DataFrame, min_len: int = 200, keep: str = "none", gram: int = GRAM, part: int = PART, id_col: str = "doc_id", text_col: str = "text", _own: DataFrame | None = None) -> DataFrame:
     """(did, th, spans): for each document with repeated passages, the byte ranges that windows of min_len repeated bytes
-    cover, each as one number (see SHIFT); ranges can overlap. did is the id, -1 for null; th is a hash of the text.
+    cover, each as one number (see SHIFT); ranges can overlap. did is the id, or a hash of the text for null; th is another hash of the text.
 
-    keep: "none" takes every occurrence, "first" all but the one with the smallest (id, place). Rows alike in id and
+    keep: "none" takes every occurrence, "first" all but the one with the smallest (did, th, place). Rows alike in id and
     text repeat each other with "none" and are one document with "first".
     """
     if not 1 <= gram <= min_len or min_len > 4000 or keep not in ("none", "first"):

@@ -54,14 +54,11 @@ def test_equals_comparing_all_windows(spark, length, gram, part):
 
 @pytest.mark.parametrize("part", [20_000, 2])
 def test_the_first_stays(spark, part):
-    rows = corpus(9)
+    # Among rows of one id, or without id, a hash of the text decides which is first, so such rows are left out here.
+    rows = [r for r in corpus(9) if r[0] not in (5, 7, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, bytes(r.kept)) for r in sd.remove_repeats(df, 40, "first", gram=8, part=part).collect()}
-    # Among rows of one id a hash of the text decides which is first, so such rows are left out here.
-    want = {(i, cut(d, s)) for i, d, s in brute([r for r in rows if r[0] not in (5, 7)], 40, "first")}
-    rest = spark.createDataFrame([r for r in rows if r[0] not in (5, 7)], "doc_id long, text string")
-    assert {(r.doc_id, bytes(r.kept)) for r in sd.remove_repeats(rest, 40, "first", gram=8, part=part).collect()} == want
-    assert len(got) >= len(want)
+    assert got == {(i, cut(d, s)) for i, d, s in brute(rows, 40, "first")}
 
 
 def test_empty_tables_and_options(spark):
