@@ -47,6 +47,7 @@ CORRECTIONS = [
     (r"\bSRM\b", ""),
 ]
 
+# What ends a line for good, what stands by itself, and closing marks.
 #: What ends a line for good, besides the ends of sentences.
 LINE_ENDS = SENTENCE_ENDS + ":;"
 #: A line that is a heading or bullet of its own.

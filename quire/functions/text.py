@@ -19,6 +19,7 @@ WORD = r"[\p{L}\p{N}_]"
 LETTER = r"[\p{L}\p{Nl}\p{No}]"
 NOT_AFTER_WORD, NOT_BEFORE_WORD = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
+# Patterns that decide results.
 STAMP = r"(?i)scanned[\t-\r\x1c-\x20\x{85}\x{a0}]+by[\t-\r\x1c-\x20\x{85}\x{a0}]+camscanner[^\n]*"
 BLOCK_MARKUP = r"</?(?:div|span|p)[^>]*>"
 MARKUP, CLASS_ATTRIBUTE = r"</?[a-zA-Z][^>]*>", rf"class{SPACE}*={SPACE}*['\"][^'\"]*['\"]"

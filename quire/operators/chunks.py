@@ -21,6 +21,7 @@ from .units import pieces
 class Budget:
     """compat keeps a quirk: an overlap of 0 words repeats the whole last piece. Without it, 0 means no overlap."""
 
+    # The default budget.
     min_words: int = 250
     target_words: int = 450
     max_words: int = 750
