@@ -230,7 +230,7 @@ def _numbered(batches: Iterator) -> Iterator[tuple[int, object]]:
         yield start + i, b
 
 
-_ASKED = "bucket int, batch long, id array<long>, th array<int>, class array<string>, n array<int>, shared array<int>, counts binary, hashes binary"
+_ASKED = "bucket int, batch long, id array<long>, th array<long>, class array<string>, n array<int>, shared array<int>, dense boolean, owners binary, hashes binary"
 
 
 def _pack(h: np.ndarray) -> bytes:
@@ -246,7 +246,8 @@ def _unpack(data: bytes) -> np.ndarray:
 
 def _announce(own: DataFrame, buckets: int, width: int, percent: int) -> DataFrame:
     """For each batch a row about its documents (bucket -1), and a row for each bucket of its prefix hashes: first
-    those that one document has alone, counts of them by document, then those of several."""
+    those that one document has alone, in order of documents, then those of several. owners tells the former: dense,
+    how many each document has, or else whose each is, whatever is shorter, so rows stay small with many buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, docs in _numbered(_batches(batches)):
@@ -260,7 +261,7 @@ def _announce(own: DataFrame, buckets: int, width: int, percent: int) -> DataFra
             times = np.diff(np.append(np.flatnonzero(new), len(h)))
             shared = np.repeat(times > 1, times)
             yield pa.RecordBatch.from_pylist(
-                [{"bucket": -1, "batch": number, "id": [d[0] for d in docs], "th": [d[1] for d in docs], "class": [class_of(s) if len(s) else None for s in sets], "n": [len(s) for s in sets], "shared": np.bincount(who[shared], minlength=len(docs)).tolist(), "counts": None, "hashes": None}],
+                [{"bucket": -1, "batch": number, "id": [d[0] for d in docs], "th": [d[1] for d in docs], "class": [class_of(s) if len(s) else None for s in sets], "n": [len(s) for s in sets], "shared": np.bincount(who[shared], minlength=len(docs)).tolist()}],
                 schema,
             )
             h, who = h[new], np.where(shared, len(docs), who)[new]
@@ -272,11 +273,14 @@ def _announce(own: DataFrame, buckets: int, width: int, percent: int) -> DataFra
             for b in range(buckets):
                 x, y = edges[b], edges[b + 1]
                 if x < y:
-                    rows.append({"bucket": b, "batch": number, "counts": np.bincount(who[x:y], minlength=len(docs) + 1)[:-1].astype("<u2").tobytes(), "hashes": _pack(h[x:y])})
+                    alone = who[x:y][who[x:y] < len(docs)]
+                    dense = len(alone) > len(docs)
+                    owners = np.bincount(alone, minlength=len(docs)) if dense else alone
+                    rows.append({"bucket": b, "batch": number, "dense": dense, "owners": owners.astype("<u4").tobytes(), "hashes": _pack(h[x:y])})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("id", pa.list_(pa.int64())), ("th", pa.list_(pa.int32())), ("class", pa.list_(pa.string())), ("n", pa.list_(pa.int32())), ("shared", pa.list_(pa.int32())), ("counts", pa.binary()), ("hashes", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("id", pa.list_(pa.int64())), ("th", pa.list_(pa.int64())), ("class", pa.list_(pa.string())), ("n", pa.list_(pa.int32())), ("shared", pa.list_(pa.int32())), ("dense", pa.bool_()), ("owners", pa.binary()), ("hashes", pa.binary())])
     return own.select("id", "th", "text").mapInArrow(run, _ASKED)
 
 
@@ -293,7 +297,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 
 def _elsewhere(asked: DataFrame) -> DataFrame:
-    """(batch, found): for each row of a bucket how many of each document's hashes other batches have too."""
+    """(batch, found): for each row of a bucket the documents with hashes that other batches have too, and how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_bucket(batches):
@@ -301,16 +305,17 @@ def _elsewhere(asked: DataFrame) -> DataFrame:
             _, inverse, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
             again, out, at = times[inverse] > 1, [], 0
             for r, p in zip(rows, parts, strict=True):
-                counts = np.frombuffer(r["counts"], "<u2")
-                alone = again[at : at + int(counts.sum())]
+                owners = np.frombuffer(r["owners"], "<u4")
+                if r["dense"]:
+                    owners = np.repeat(np.arange(len(owners)), owners)
+                which, count = np.unique(owners[again[at : at + len(owners)]], return_counts=True)
                 at += len(p)
-                found = np.bincount(np.repeat(np.arange(len(counts)), counts)[alone], minlength=len(counts)).astype("<u2")
-                if found.any():
-                    out.append({"batch": r["batch"], "found": found.tobytes()})
+                if len(which):
+                    out.append({"batch": r["batch"], "found": np.stack([which, count], 1).astype("<u4").tobytes()})
             if out:
                 yield pa.RecordBatch.from_pylist(out, pa.schema([("batch", pa.int64()), ("found", pa.binary())]))
 
-    dealt = asked.select("bucket", "batch", "counts", "hashes").repartition("bucket").sortWithinPartitions("bucket")
+    dealt = asked.select("bucket", "batch", "dense", "owners", "hashes").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "batch long, found binary")
 
 
@@ -318,24 +323,31 @@ def _survivors(documents: DataFrame, found: DataFrame, percent: int) -> DataFram
     """(id, th, class) of the documents that share enough of their prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("th", pa.int32()), ("class", pa.string())])
+        schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("class", pa.string())])
         for batch in batches:
             for r in batch.to_pylist():
                 total = np.array(r["shared"], np.int64)
                 for f in r["found"] or ():
-                    total += np.frombuffer(f, "<u2")
+                    pairs = np.frombuffer(f, "<u4").reshape(-1, 2)
+                    total[pairs[:, 0]] += pairs[:, 1]
                 keep = [i for i, n in enumerate(r["n"]) if n and total[i] >= needed(n, percent)]
                 yield pa.RecordBatch.from_pylist([{"id": r["id"][i], "th": r["th"][i], "class": r["class"][i]} for i in keep], schema)
 
     lists = found.groupBy("batch").agg(F.collect_list("found").alias("found"))
-    return documents.join(lists, "batch", "left").select("id", "th", "class", "n", "shared", "found").mapInArrow(run, "id long, th int, class string")
+    return documents.join(lists, "batch", "left").select("id", "th", "class", "n", "shared", "found").mapInArrow(run, "id long, th long, class string")
 
 
 _SETS = "batch long, class array<string>, n array<int>, hashes binary"
 
 
+def _numbers(batch: int, n: int) -> np.ndarray:
+    """Numbers of a batch's sets: its partition, its place there, and theirs in it, which stays below 2 ** 11."""
+    return (np.int64(batch >> 32) << 42 | np.int64(batch & 0xFFFFFFFF) << 11) + np.arange(n)
+
+
 def _sets(own: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
-    """The sets of chosen classes, in batches; the bytes of their hashes one after the other."""
+    """The sets of chosen classes, in batches; the bytes of their hashes one after the other. See _numbers() for what
+    they are called from here on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("batch", pa.int64()), ("class", pa.list_(pa.string())), ("n", pa.list_(pa.int32())), ("hashes", pa.binary())])
@@ -379,7 +391,7 @@ def _frequencies(sets: DataFrame, buckets: int) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, often: DataFrame, buckets: int, percent: int) -> DataFrame:
-    """(h, class): the n-grams of each set's prefix, rarest first, that other sets have too."""
+    """(h, set): the n-grams of each set's prefix, rarest first, that other sets have too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -389,27 +401,42 @@ def _prefixes(sets: DataFrame, often: DataFrame, buckets: int, percent: int) ->
                 often = np.concatenate([np.frombuffer(x["often"], "<u4") for x in sorted(r["often"], key=lambda x: x["bucket"])])
                 order = np.argsort(every)
                 often = often[order][np.searchsorted(every[order], hashes)]
-                end = 0
-                for c, n in zip(r["class"], r["n"], strict=True):
+                end, found = 0, []
+                for number, n in zip(_numbers(r["batch"], len(r["n"])), r["n"], strict=True):
                     h, f = hashes[end : end + n], often[end : end + n]
                     end += n
                     first = np.lexsort((h, f))[: n - least_overlap(n, percent) + 1]
                     first = first[f[first] > 1]
                     if len(first):
-                        yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array([c] * len(first))], ["h", "class"])
+                        found.append((h[first].view(np.int64), np.full(len(first), number)))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["h", "set"])
 
     lists = often.groupBy("batch").agg(F.collect_list(F.struct("bucket", "often")).alias("often"))
-    return sets.join(lists, "batch").select("class", "n", "hashes", "often").mapInArrow(run, "h long, class string")
+    return sets.join(lists, "batch").select("batch", "n", "hashes", "often").mapInArrow(run, "h long, set long")
 
 
 def _rows_of(sets: DataFrame) -> DataFrame:
+    """(set, hashes)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 ends = np.cumsum(r["n"]) * 8
-                yield pa.RecordBatch.from_arrays([pa.array(r["class"], pa.string()), pa.array([r["hashes"][e - n * 8 : e] for e, n in zip(ends, r["n"], strict=True)], pa.binary())], ["class", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(_numbers(r["batch"], len(ends))), pa.array([r["hashes"][e - n * 8 : e] for e, n in zip(ends, r["n"], strict=True)], pa.binary())], ["set", "hashes"])
+
+    return sets.select("batch", "n", "hashes").mapInArrow(run, "set long, hashes binary")
+
+
+def _names(sets: DataFrame) -> DataFrame:
+    """(set, class)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_numbers(r["batch"], len(r["class"]))), pa.array(r["class"], pa.string())], ["set", "class"])
 
-    return sets.select("class", "n", "hashes").mapInArrow(run, "class string, hashes binary")
+    return sets.select("batch", "class").mapInArrow(run, "set long, class string")
 
 
 def _joined(rows: DataFrame, percent: int) -> DataFrame:
@@ -418,10 +445,10 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
-            names = t["class"].to_pylist()
+            names = t["set"].to_pylist()
             labels = groups_of([np.frombuffer(x, U) for x in t["hashes"].to_pylist()], percent)
             links = [(names[i], names[j]) for i, j in enumerate(labels) if names[i] != names[j]]
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.string()), pa.array([x for _, x in links], pa.string())], ["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["u", "v"])
 
         held, last = [], None
         for batch in batches:
@@ -438,35 +465,39 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
         if held:
             yield work(held)
 
-    dealt = rows.select("group", "block", "class", "hashes").repartition("group", "block").sortWithinPartitions("group", "block", "class")
-    return dealt.mapInArrow(run, "u string, v string")
+    dealt = rows.select("group", "block", "set", "hashes").repartition("group", "block").sortWithinPartitions("group", "block", "set")
+    return dealt.mapInArrow(run, "u long, v long")
 
 
-def links_in_groups(rows: DataFrame, percent: int, group_size: int) -> DataFrame:
-    """Edges (u, v) that connect what links connect, for rows (group, members, class, hashes).
+def links_in_groups(sets: DataFrame, groups: DataFrame, percent: int, group_size: int) -> DataFrame:
+    """Edges (u, v) that connect what links connect, for sets (set, hashes) and their groups (set, group, members).
 
     A group of more than group_size sets is dealt into blocks that are joined on their own; then the first sets of what
     has been connected are joined across blocks, which connects near copies. Only groups that then still have several
     parts are joined block by block in pairs, so their links are found too, and no task holds more than two blocks.
+    Which sets meet is decided on numbers alone; hashes join them last.
     """
-    blocks = F.ceil(F.col("members") / group_size).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("class"), F.greatest("blocks", F.lit(1))))
-    edges = checkpointed(_joined(rows.withColumn("block", F.col("block").cast("string")), percent))
-    large = rows.where("blocks > 1")
+    named = groups.withColumn("blocks", F.ceil(F.col("members") / group_size).cast("int")).withColumn("number", F.pmod(F.hash("set"), F.col("blocks")))
+
+    def joined(some: DataFrame) -> DataFrame:
+        return _joined(sets.join(some.select("set", "group", "block"), "set"), percent)
+
+    edges = checkpointed(joined(named.withColumn("block", F.col("number").cast("string"))))
+    large = named.where("blocks > 1")
     if large.isEmpty():
         return edges
-    parts = connected(edges)
-    named = checkpointed(large.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class")))
-    firsts = named.where("class = label")
-    per = firsts.groupBy("group").agg(F.count("*").alias("firsts")).where("firsts > 1")
-    again = firsts.join(per, "group").withColumn("block", F.pmod(F.hash("class", F.lit(7)), F.ceil(F.col("firsts") / group_size).cast("int")).cast("string"))
-    edges = checkpointed(edges.unionByName(_joined(again, percent)))
-    parts = connected(edges)
-    still = named.drop("label").join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+
+    def labelled(edges: DataFrame) -> DataFrame:
+        return checkpointed(large.join(connected(edges).withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set")))
+
+    firsts = labelled(edges).where("set = label")
+    several = firsts.groupBy("group").agg(F.count("*").alias("firsts")).where("firsts > 1")
+    across = firsts.join(several, "group").withColumn("block", F.pmod(F.hash("set", F.lit(7)), F.ceil(F.col("firsts") / group_size).cast("int")).cast("string"))
+    edges = checkpointed(edges.unionByName(joined(across)))
+    still = labelled(edges)
     apart = still.groupBy("group").agg(F.count_distinct("label").alias("apart")).where("apart > 1").select("group")
-    pairs = still.join(apart, "group").withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))))
-    pairs = pairs.withColumn("block", F.concat_ws("-", F.least("block", "other"), F.greatest("block", "other")))
-    return checkpointed(edges.unionByName(_joined(pairs, percent)))
+    pairs = still.join(apart, "group").withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("number"))))
+    return checkpointed(edges.unionByName(joined(pairs.withColumn("block", F.concat_ws("-", F.least("number", "other"), F.greatest("number", "other"))))))
 
 
 def _labelled(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str, group_size: int, buckets: int | None) -> DataFrame:
@@ -476,18 +507,19 @@ def _labelled(docs: DataFrame, percent: int, width: int, id_col: str, text_col:
     spark = docs.sparkSession
     buckets = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce(docs[text_col], F.lit(""))
-    own = small_batches(docs).select(docs[id_col].cast("long").alias("id"), F.hash(text).alias("th"), text.alias("text"))
+    own = small_batches(docs).select(docs[id_col].cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     asked = checkpointed(_announce(own, buckets, width, percent))
     documents = asked.where("bucket = -1").select("batch", "id", "th", "class", "n", "shared")
     chosen = _survivors(documents, _elsewhere(asked.where("bucket >= 0")), percent)
     sets = checkpointed(_sets(own, chosen, width))
     prefixes = checkpointed(_prefixes(sets, _frequencies(sets, buckets), buckets, percent))
-    least = prefixes.groupBy("h").agg(F.min("class").alias("v"), F.count("*").alias("c")).where("c > 1").select("h", "v")
-    candidates = prefixes.join(least, "h").select(F.col("class").alias("u"), "v").where("u <> v").distinct()
-    groups = connected(candidates).select(F.col("node").alias("class"), F.col("label").alias("group"))
-    sized = groups.join(groups.groupBy("group").agg(F.count("*").alias("members")), "group")
-    edges = links_in_groups(checkpointed(_rows_of(sets).dropDuplicates(["class"]).join(sized, "class")), percent, group_size)
-    labels = connected(edges).select(F.col("node").alias("class"), "label")
+    least = prefixes.groupBy("h").agg(F.min("set").alias("v"), F.count("*").alias("c")).where("c > 1").select("h", "v")
+    candidates = prefixes.join(least, "h").select(F.col("set").alias("u"), "v").where("u <> v").distinct()
+    groups = connected(candidates).select(F.col("node").alias("set"), F.col("label").alias("group"))
+    sized = checkpointed(groups.join(groups.groupBy("group").agg(F.count("*").alias("members")), "group"))
+    edges = links_in_groups(_rows_of(sets), sized, percent, group_size)
+    # Rows alike in id and text can have brought a class in twice.
+    labels = connected(edges).withColumnRenamed("node", "set").join(_names(sets), "set").groupBy("class").agg(F.min("label").cast("string").alias("label"))
     flat = documents.select(F.explode(F.arrays_zip("id", "th", "class", "n")).alias("d")).select("d.id", "d.th", "d.class", F.col("d.n").cast("long").alias("n"))
     return flat.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
 
@@ -514,7 +546,7 @@ def one_of_each(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str
     first = labelled.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("x"), "id", "th")).alias("f")).select(F.col("f.id").alias("_id"), F.col("f.th").alias("_th"))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     worded = text.rlike(r"[^\x20\x09-\x0D]")
-    keyed = docs.where(worded).withColumns({"_id": F.col(f"`{id_col}`").cast("long"), "_th": F.hash(text)})
+    keyed = docs.where(worded).withColumns({"_id": F.col(f"`{id_col}`").cast("long"), "_th": F.xxhash64(text)})
     # Null ids get a number to join on; what is null is part of the key as well.
     key = lambda df: df.withColumns({"_null": F.col("_id").isNull(), "_id": F.coalesce("_id", F.lit(-1))})
     kept = key(keyed).join(key(first), ["_id", "_null", "_th"], "left_semi").dropDuplicates(["_id", "_null", "_th"])

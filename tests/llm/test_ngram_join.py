@@ -110,3 +110,14 @@ def test_prefixes_of_linking_sets_share_enough():
             p, q = (np.sort(x)[: nj.announced(len(x), 75)] for x in (a, b))
             assert len(np.intersect1d(p, q)) >= max(nj.needed(len(a), 75), nj.needed(len(b), 75))
     assert seen > 500
+
+
+def test_many_buckets_and_a_long_text(spark):
+    """With few buckets a long text has more hashes in one than 16 bits count; with many, rows tell owners one by one."""
+    rnd = random.Random(5)
+    long = " ".join(str(rnd.randrange(10**9)) for _ in range(220_000))
+    rows = [(1, long), (2, long + " x"), (3, "a b c d e f g"), (4, "A b c d e f g h"), (5, "other words are here now")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for buckets in (1, 700):
+        got = sorted(tuple(r)[:3] for r in nj.ngram_components(df.repartition(2, "doc_id"), buckets=buckets).collect())
+        assert [(r[0], r[2]) for r in got] == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 5)] and got[0][1] == 219_996
