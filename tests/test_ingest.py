@@ -240,6 +240,16 @@ def test_page_limits(spark):
     assert set(got) == {("a", 1), ("b", 1), ("b", 2), ("c", 1), ("d", 1)} and got["b", 2].content == "y" and got["d", 1].metadata.char_count == 10 and got["b", 2].metadata.total_pages == 2
 
 
+def test_without_the_optional_part(monkeypatch):
+    import importlib.util
+
+    import __spark_entry__ as entry
+
+    found = importlib.util.find_spec
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name == "quire.llm" else found(name, *a))
+    assert set(entry.queries()) == set(catalog.QUERIES) and set(entry.oracle_sql()) == set(catalog.SQL)
+
+
 def test_catalog():
     import __spark_entry__ as entry
 
