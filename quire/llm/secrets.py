@@ -52,7 +52,7 @@ PREFIXES = {
 }
 _PREFIX = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PREFIXES.items()))
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-_ASSIGNED = re.compile(r"""["']?\s{0,3}[:=]\s{0,3}["']?([^\s"'<>,;]{6,200})""")
+_ASSIGNED = re.compile(r"""["']?\s{0,3}[:=]\s{0,3}["']?([^\s"'<>,;]{6,})""")
 _NAME = re.compile(r"(?i)(passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[a-z_]*key|credentials?)s?$")
 _PEM = re.compile(r"-----BEGIN ([A-Z ]{0,20}PRIVATE KEY)-----.*?-----END \1-----", re.S)
 _WORDS = re.compile("|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=lambda w: (-len(w), w))))
@@ -78,7 +78,8 @@ class Candidate:
 
 
 def candidates(text: str) -> list[Candidate]:
-    """What the rules find, in order, without overlaps: a block, then an assigned value, holds over a bare run."""
+    """What the rules find, in order, without overlaps: of spans that meet, the first holds, and what another has beyond
+    its end is a candidate of its own."""
     spans: list[tuple[int, int, str]] = []
     if "-----BEGIN" in text:
         spans += [(m.start(), m.end(), "private_key") for m in _PEM.finditer(text)]
@@ -94,7 +95,8 @@ def candidates(text: str) -> list[Candidate]:
             spans.append((m.start(), m.end(), "run"))
     out, end = [], 0
     for a, b, rule in sorted(spans, key=lambda s: (s[0], -s[1])):
-        if a >= end:
+        a = max(a, end)
+        if a < b:
             out.append(Candidate(a, b, rule, text[a:b], text[max(0, a - NEAR) : a], text[b : b + NEAR]))
             end = b
     return out
