@@ -52,7 +52,10 @@ PREFIXES = {
 }
 _PREFIX = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PREFIXES.items()))
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-_ASSIGNED = re.compile(r"""["']?\s{0,3}[:=]\s{0,3}["']?([^\s"'<>,;]{6,})""")
+_SIGN = re.compile(r"""["']?\s{0,3}[:=]""")
+_OPEN = re.compile(r"""\s{0,3}["']?""")
+_STOP = re.compile(r"""[\s"'<>,;]""")
+_NEXT = re.compile(r"[&?|][\w.\-]*$")
 _NAME = re.compile(r"(?i)(passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[a-z_]*key|credentials?)s?$")
 _PEM = re.compile(r"-----BEGIN ([A-Z ]{0,20}PRIVATE KEY)-----.*?-----END \1-----", re.S)
 _WORDS = re.compile("|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=lambda w: (-len(w), w))))
@@ -61,6 +64,8 @@ _BAD_NEAR = re.compile(r"(?i)\b(?:sha-?\d*|md5|commit|checksum|digest|integrity|
 _BAD_PATH = re.compile(r"(?i)test|spec|example|sample|mock|fixture|doc|demo|lock|vendor|node_modules|min\.js|dist|\.md|\.lock|\.svg|\.html?")
 _GOOD_PATH = re.compile(r"(?i)\.env|config|settings|deploy|prod|credential|\.ya?ml|\.properties|\.ini|\.tf|\.sh|\.pem")
 
+#: Characters that an assigned value has at least.
+MIN_ASSIGNED = 6
 #: Characters on either side of a candidate that count as its neighbours.
 NEAR = 40
 
@@ -77,15 +82,26 @@ class Candidate:
     after: str
 
 
+def assigned(text: str) -> Iterator[tuple[int, int]]:
+    """Where the values stand that are assigned to the names of secrets. Other assignments don't count, so a named one
+    inside their values is found; a value with another named assignment in it ends before that."""
+    named = [m for m in _SIGN.finditer(text) if _NAME.search(text, max(0, m.start() - 24), m.start())]
+    for m, after in zip(named, [*named, None][1:], strict=True):
+        a = _OPEN.match(text, m.end()).end()
+        limit = after.start() if after else len(text)
+        stop = _STOP.search(text, a, limit) or (after and _NEXT.search(text, a, limit))
+        b = stop.start() if stop else limit
+        if b - a >= MIN_ASSIGNED:
+            yield a, b
+
+
 def candidates(text: str) -> list[Candidate]:
     """What the rules find, in order, without overlaps: of spans that meet, the first holds, and what another has beyond
     its end is a candidate of its own."""
     spans: list[tuple[int, int, str]] = []
     if "-----BEGIN" in text:
         spans += [(m.start(), m.end(), "private_key") for m in _PEM.finditer(text)]
-    for m in _ASSIGNED.finditer(text):
-        if _NAME.search(text, max(0, m.start() - 24), m.start()):
-            spans.append((m.start(1), m.end(1), "assigned"))
+    spans += [(a, b, "assigned") for a, b in assigned(text)]
     for m in _RUN.finditer(text):
         run = m.group()
         known = _PREFIX.match(run)

@@ -67,3 +67,16 @@ def test_long_assigned_values_go_whole(spark):
     assert {r.text for r in redact(df, default_forest()).collect()} == {"token: <secret:assigned> tail"}
     block = "-----BEGIN PRIVATE KEY-----\nab12\n-----END PRIVATE KEY-----"
     assert candidates("secret=x" + block)[-1].text.endswith("ab12\n-----END PRIVATE KEY-----")
+
+
+def test_named_assignments_inside_other_values(spark):
+    values = lambda t: [c.text for c in candidates(t) if c.rule == "assigned"]
+    assert values("https://h/login?user=bob&password=Hunter2!x") == ["Hunter2!x"]
+    assert values("a=value&password=Hunter2!x end") == values("token:password=Hunter2!x")[-1:] == ["Hunter2!x"]
+    assert values("Server=db:1433|Pwd=Hunter2!x;User=sa") == ["Hunter2!x"]
+    assert values("password=Zk3!9sd&db_token=xyz!789q") == ["Zk3!9sd", "xyz!789q"] and values("password=&token=Hunter2!x") == ["Hunter2!x"]
+    assert values("password=p@ss-token=Hunter2!x") == ["p@ss-token", "Hunter2!x"]
+    assert len(values("xtoken=" * 20_000)) <= 20_000
+    text = "see https://h/login?user=bob&password=q8Zr!4Lw#t2V now"
+    df = spark.createDataFrame([(1, text, None)], "doc_id long, text string, source string")
+    assert redact(df, default_forest()).first().text == "see https://h/login?user=bob&password=<secret:assigned> now"
