@@ -21,18 +21,51 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 
 _IPV4 = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-#: Fixed forms of the kinds, tried in this order.
+#: Characters that the IBANs of a country have.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_form(length: int, countries: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+_KNOWN = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+_IBANS = "|".join(_iban_form(n, c) for n, c in IBAN_LENGTHS.items())
+#: Four groups of four digits, and what can stand beside them as more groups. Digits behind the head of an IBAN are no
+#: longer run.
+_FOURS = "|".join(rf"\d{{4}}(?:{s}\d{{4}}){{3}}(?!\d)" for s in " -")
+_FOURS_AND_MORE = r"(?<![A-Z]{2}\d{2} )(?:" + "|".join(rf"\d{{4}}(?:{s}\d{{4}}){{4,7}}(?!\d)|\d{{4}}(?:{s}\d{{4}}){{3,7}}{s}\d{{1,3}}(?!\d)" for s in " -") + ")"
+#: Fixed forms of the kinds, tried in this order. Layouts that are in use come first, looser ones after them.
 FORMS = {
     "email": r"[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    "iban": _IBANS + r"|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
     "ipv4": _IPV4,
     "date": r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}",
     "ssn": r"\d{3}-\d{2}-\d{4}",
     "phone": r"\+\d{1,3}(?:[ .\-]?\(\d{1,4}\)|[ .\-]\d{1,4}|\d{2,4})(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[ .\-]\d{3}[ .\-]\d{4}",
-    "card": r"\d(?:[ \-]?\d){12,18}",
+    "card": rf"{_FOURS_AND_MORE}|{_FOURS}|\d{{15,16}}(?!\d)|\d(?:(?![ \-](?:{_FOURS}))[ \-]?\d){{12,18}}",
 }
-#: Where a value can't begin or end: inside a word, or inside a longer dotted or dashed number.
-ANY = r"(?<![\p{L}\p{N}_])(?<!\d[.\-])(?:" + "|".join(FORMS.values()) + r")(?![\p{L}\p{N}_])(?![.\-]\d)"
+#: Forms that are tried inside a match that isn't valid as a whole, longer ones first. IBANs of a known country have its
+#: length.
+PARTS = {
+    "iban": [_IBANS, *(rf"(?!{_KNOWN})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{{k}}}{rest}" for k in range(7, 1, -1) for rest in (" ?[A-Z0-9]{1,3}", ""))],
+    "card": [*(rf"\d{{4}}(?:{s}\d{{4}}){{3}}{s}\d{{1,3}}" for s in " -"), _FOURS, *(rf"\d{{4}}{s}\d{{6}}{s}\d{{{n}}}" for s in " -" for n in (5, 4)), r"\d{13,19}"],
+}
+#: Values that a hyphen can part from another: the two ends of a range. Looking back needs repeats of groups written out.
+_OCTET, _BLOCK = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)", r"[ .\-]?\d{2,4}"
+_END = "|".join([r"\.".join([_OCTET] * 4), FORMS["date"], FORMS["ssn"], FORMS["phone"].replace(f"(?:{_BLOCK}){{1,4}}", _BLOCK + f"(?:{_BLOCK})?" * 3)])
+_AFTER = r"(?![\p{L}\p{N}_])(?![.\-]\d)"
+#: Where a value can't begin or end: inside a word, or inside a longer dotted or dashed number that isn't a range.
+ANY = (
+    rf"(?<![\p{{L}}\p{{N}}_])(?<!\d\.)(?:(?<!\d-)|(?<=(?<![\p{{L}}\p{{N}}_.\-])(?:{_END})-))(?:"
+    + "|".join(FORMS.values())
+    + rf")(?![\p{{L}}\p{{N}}_])(?!\.\d)(?!-(?!(?:{_END}){_AFTER})\d)"
+)
 
 
 def _int(c: Column) -> Column:
@@ -100,7 +133,7 @@ def _card(key: str, m: Column) -> Column:
     def of(d: Column) -> Column:
         inner = F.concat(F.substring(d, 1, 1), permute_digits(key, "card", F.substr(d, F.lit(2), F.length(d) - 2)))
         new = _let(inner, lambda x: F.concat(x, ((10 - luhn_sum(F.concat(x, F.lit("0"))) % 10) % 10).cast("string")))
-        return F.when((luhn_sum(d) % 10 == 0) & ~d.rlike(r"^(\d)\1*$"), laid_out(m, new))
+        return F.when((F.length(d) <= 19) & (luhn_sum(d) % 10 == 0) & ~d.rlike(r"^(\d)\1*$"), laid_out(m, new))
 
     return _let(_only_digits(m), of)
 
@@ -233,12 +266,30 @@ def _email(key: str, m: Column) -> Column:
 _KINDS = {"email": _email, "iban": _iban, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
+def _inside(key: str, m: Column, kind: str) -> Column:
+    """array of struct(kind, value) that is m in pieces: the valid values of a kind among PARTS, and what is between."""
+    piece = lambda k, v: F.struct(F.lit(k).cast("string").alias("kind"), v.alias("value"))
+    rest = lambda p: F.substr(m, p)
+    starts = F.filter(F.sequence(F.lit(1), F.length(m)), lambda p: (p == 1) | ~F.substr(m, p - 1, F.lit(1)).rlike("[A-Z0-9]"))
+    tried = lambda p: F.transform(F.array(*(F.regexp_extract(rest(p), f"^(?:{x})(?![A-Z0-9])", 0) for x in PARTS[kind])), lambda c: F.struct(p.alias("at"), c.alias("text")))
+    found = F.filter(F.flatten(F.transform(starts, tried)), lambda c: c["text"] != "")
+    found = F.transform(found, lambda c: F.struct(c["at"].alias("at"), F.length(c["text"]).alias("n"), _KINDS[kind](key, c["text"]).alias("value")))
+    none = F.array().cast("array<struct<kind:string,value:string>>")
+
+    def step(acc: Column, c: Column) -> Column:
+        more = F.concat(acc["made"], F.array(piece(None, F.substr(m, acc["at"], c["at"] - acc["at"])), piece(kind, c["value"])))
+        return F.when(c["value"].isNotNull() & (c["at"] >= acc["at"]), F.struct((c["at"] + c["n"]).alias("at"), more.alias("made"))).otherwise(acc)
+
+    return F.aggregate(found, F.struct(F.lit(1).alias("at"), none.alias("made")), step, lambda acc: F.concat(acc["made"], F.array(piece(None, rest(acc["at"])))))
+
+
 def pseudonym(key: str, m: Column) -> Column:
-    """struct(kind, value) for a match of ANY; kind is null and value the match itself where it isn't valid. A match
-    can have the form of several kinds; the first that it is valid for holds."""
-    named = lambda kind: lambda v: F.when(v.isNotNull(), F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    """array of struct(kind, value) for a match of ANY. A match can have the form of several kinds; the first that it is
+    valid for holds. One that isn't valid as a whole is searched for shorter values; what is none has a null kind."""
+    named = lambda kind: lambda v: F.when(v.isNotNull(), F.array(F.struct(F.lit(kind).alias("kind"), v.alias("value"))))
     tried = [F.when(m.rlike(f"^(?:{FORMS[k]})$"), _let(make(key, m), named(k))) for k, make in _KINDS.items()]
-    return F.coalesce(*tried, F.struct(F.lit(None).cast("string").alias("kind"), m.alias("value")))
+    shorter = [F.when(m.rlike(f"^(?:{FORMS[k]})$"), _inside(key, m, k)) for k in PARTS]
+    return F.coalesce(*tried, *shorter, F.array(F.struct(F.lit(None).cast("string").alias("kind"), m.alias("value"))))
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", found_col: str = "pii") -> DataFrame:
@@ -254,9 +305,11 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", found_col: s
     some = text.rlike("[0-9@]")
     found = F.when(some, F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: pseudonym(key, m)))
     made = docs.withColumn("_found", found)
-    parts = F.zip_with(F.split(text, ANY, -1), F.transform(F.col("_found"), lambda x: x["value"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    new = F.when(F.size(F.filter(F.col("_found"), lambda x: x["kind"].isNotNull())) > 0, F.array_join(parts, "")).otherwise(text)
-    valid = F.coalesce(F.filter(F.col("_found"), lambda x: x["kind"].isNotNull()), F.array().cast("array<struct<kind:string,value:string>>"))
+    written = F.transform(F.col("_found"), lambda x: F.array_join(F.transform(x, lambda y: y["value"]), ""))
+    parts = F.zip_with(F.split(text, ANY, -1), written, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    kept = F.filter(F.flatten("_found"), lambda x: x["kind"].isNotNull())
+    new = F.when(F.size(kept) > 0, F.array_join(parts, "")).otherwise(text)
+    valid = F.coalesce(kept, F.array().cast("array<struct<kind:string,value:string>>"))
     return made.withColumns({text_col: new, found_col: valid}).drop("_found")
 
 

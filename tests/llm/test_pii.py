@@ -90,3 +90,24 @@ def test_columns_and_cases(spark):
         pii.pseudonymize(df, "")
     plan = out._jdf.queryExecution().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_values_beside_other_text(spark):
+    card = "4041 8949 7460 8795"
+    texts = [f"{card} 12/26", f"{card} 123", f"{card} 12", f"no 12 {card}", f"1234 {card} 123", f"{card} {card}", f"{card}, 4041-8949-7460-8795 x", "4041894974608795 123", "3782 822463 10005 1234"]
+    for t, (new, found) in zip(texts, run(spark, texts), strict=True):
+        kinds = {k for k, _ in found}
+        assert kinds == {"card"} and card not in new and "4041894974608795" not in new and "822463" not in new, t
+    one = run(spark, [card])[0][0]
+    got = run(spark, texts)
+    assert [got[i][0] for i in (0, 3, 5)] == [f"{one} 12/26", f"no 12 {one}", f"{one} {one}"]
+    ibans = ["ES9121000418450200051332", "AT611904300234573201", "BE68539007547034", "SE4550000000058398257466", "PL61109010140000071219812874"]
+    for iban, (new, found) in zip(ibans, run(spark, [f"{i} BIC" for i in ibans]), strict=True):
+        assert [k for k, _ in found] == ["iban"] and new == found[0][1] + " BIC" and mod97(found[0][1]) == 1 and iban not in new
+    spaced = " ".join(ibans[0][i : i + 4] for i in range(0, 24, 4))
+    assert run(spark, [f"{spaced} CODE"])[0][1][0][1].replace(" ", "") == run(spark, [ibans[0]])[0][0]
+    ranges = ["12/05/2020-13/05/2020", "192.168.0.1-192.168.0.20", "2020-01-01-2020-02-01"]
+    for t, (new, found) in zip(ranges, run(spark, ranges), strict=True):
+        assert len(found) == 2 and new == "-".join(v for _, v in found) and not set(t.split("-", 1)) & {v for _, v in found}
+    kept = ["192.168.0.1-20", "1.2.3.4.5", "12/05/2020-13", "1-2020-01-01", "2020-01-01-5"]
+    assert run(spark, kept) == [(t, []) for t in kept]
