@@ -154,7 +154,7 @@ FEATURES = ("length", "transitions", "changes", "entropy", "dictionary", "distin
 
 
 def features(c: Candidate, path: str | None, transitions: Transitions) -> list[float]:
-    s = c.text[:4096]
+    s = c.text
     n, kinds = len(s), [_kind(x) for x in s]
     counts = Counter(s)
     entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
