@@ -1,17 +1,14 @@
-"""Removal of repeated passages by suffix order and longest previous factors.
+"""Removal of repeated passages by equal fingerprints of winnowed windows.
 
-A passage of min_len bytes is repeated if its start has a longest previous factor (or longest next factor) of min_len
-or more: if in suffix order a neighbour with a smaller (or larger) position shares min_len bytes with it. The order of
-suffixes is only needed to that depth, and only near bytes that can repeat at all:
+A passage of min_len bytes is repeated if the same min_len bytes start at a smaller (or larger) position too. No suffix
+array is built and no longest previous factors are computed; for the decision at min_len bytes equality is enough:
 
 1. Anchors. Of the k-grams inside every min_len-byte window the one with the smallest hash is the window's anchor
    (winnowing), so equal windows have equal anchors at equal places. Hashes are counted over all documents with
    pre-aggregation; windows whose anchor occurs once can't repeat and go no further.
-2. Suffixes. Around each anchor that occurs again, the bytes of the windows that it is the anchor of are dealt out by
-   the anchor's hash, so all suffixes that can share min_len bytes meet. There they are put in suffix order cut at
-   min_len bytes: classes of equal prefixes by 128-bit fingerprints, and inside a class by position, which is all that
-   longest previous factors of min_len need. The previous smaller and the next larger position in this order are the
-   earlier and the later match.
+2. Windows. Around each anchor that occurs again, the bytes of the windows that it is the anchor of are dealt out by
+   the anchor's hash, so all windows that can be equal meet. There they are sorted by fingerprint, and by position inside
+   a class where positions are known; neighbours of equal fingerprints are the earlier and the later match.
 3. Documents get their repeated runs back and drop them.
 
 An anchor that occurs very often is dealt out in parts of bounded size. One window of each class of a part
@@ -120,8 +117,8 @@ def fingerprints(blobs: list[bytes], counts: np.ndarray, min_len: int) -> tuple[
 
 
 def matches(a: np.ndarray, b: np.ndarray, position: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(earlier, later): whether each suffix has a match before and after it. a and b tell classes of equal prefixes;
-    in suffix order, with a class ordered by position, the previous smaller and next larger positions are neighbours."""
+    """(earlier, later): whether each window has a match before and after it. a and b tell classes of equal windows;
+    sorted by them, with a class ordered by position, the matches are neighbours."""
     order = np.argsort(a, kind="stable") if position is None else np.lexsort((position, b, a))
     same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
     earlier, later = np.zeros(len(a), bool), np.zeros(len(a), bool)
