@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import batches_by_bytes, claim, raw, segments, sha256, small_batches, texts
+from .common import batches_by_bytes, claim, raw, segments, sha256, slices, texts
 
 #: Words whose ids are remembered in one worker, and their longest; about 100 MB.
 KEPT, KEPT_CHARS = 500_000, 48
@@ -229,11 +229,11 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [x for part in batches_by_bytes(iter(texts(batch.column(1))), len, BATCH) for x in enc.encode(part)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["id", "n_tokens", "ids"])
 
-    rows = small_batches(docs).select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     return rows.mapInArrow(run, "id long, n_tokens long, ids array<int>").withColumnRenamed("id", id_col)
 
 
@@ -242,11 +242,11 @@ def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = encoder(path, ".").bpe.token
-        for batch in batches:
+        for batch in slices(batches):
             data = [b"".join(map(token.__getitem__, x or ())) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["id", "bytes"])
 
-    rows = small_batches(encoded).select(encoded[id_col].cast("long").alias("id"), encoded[ids_col].alias("ids"))
+    rows = encoded.select(encoded[id_col].cast("long").alias("id"), encoded[ids_col].alias("ids"))
     return rows.mapInArrow(run, "id long, bytes binary").withColumnRenamed("id", id_col)
 
 
@@ -256,7 +256,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             n, a, b = [], [], []
             for part in batches_by_bytes(iter(texts(batch.column(1))), len, BATCH):
                 for ids in enc.encode(part):
@@ -265,7 +265,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
                     b.append(sha256(b"".join(map(enc.bytes.__getitem__, ids))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = small_batches(docs).select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words of the shared contract: runs without ASCII white space. bytes.split() splits at exactly these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where spark.checkpoint.dir is unset (tests, a laptop) a local one is used."""
+    """The folder all executors share. Only where everything runs on one machine (tests, a laptop) and spark.checkpoint.dir
+    is unset, a local one is used; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return folder or "/tmp/quire-checkpoints"
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return folder or os.path.join(tempfile.gettempdir(), "quire-checkpoints")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -32,11 +38,37 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet into a new place in the shared folder, and read again."""
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written as Parquet into a new place in the shared folder, and read again; and that place."""
     place = f"{shared_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place), place
+
+
+def removed(spark: SparkSession, place: str) -> None:
+    """Deletes what stored() has written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key with more than this share of the rows of a join is dealt out, so there are at most as many such keys as it
+#: goes into 1: a bound on what is broadcast that holds for every input.
+SHARE = 1 / 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], times: str, salt: Column, how: str = "inner") -> DataFrame:
+    """left joined with right, which has a row for each key of `on` and in `times` how many rows of left have it. times
+    stays out of the result. salt is a column of left that tells rows of a key apart.
+
+    Keys with more than SHARE of all those rows are dealt out over tasks: their rows of right, a bounded number, are
+    broadcast to mark left's rows, and then copied once for each part. right should be checkpointed: it is read three times.
+    """
+    total = right.agg(F.sum(times)).first()[0] or 0
+    parts = F.ceil(F.col(times) / F.lit(max(1.0, total * SHARE))).cast("int")
+    hot = right.where(parts > 1).select(*on, parts.alias("_parts"))
+    dealt = left.withColumn("_s", F.pmod(salt, F.lit(1 << 20))).join(F.broadcast(hot), on, "left").withColumn("_s", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod("_s", F.col("_parts"))).cast("int"))
+    copied = right.withColumn("_s", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(times)
+    return dealt.drop("_parts").join(copied, [*on, "_s"], how).drop("_s")
 
 
 def texts(column: pa.Array) -> list[str]:
@@ -96,7 +128,9 @@ def segments(text: str, chars: int = 1 << 20) -> Iterator[str]:
     yield text[at:]
 
 
-def small_batches(df: DataFrame, rows: int = 256) -> DataFrame:
-    """Sets the session's Arrow batch to few rows, as texts may be very long."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches cut to few rows, as texts may be very long. (What Spark sends at once is bounded by its own limit in
+    bytes, so no setting of the session has to change for that.)"""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

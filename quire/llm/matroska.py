@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import raw, sha256, small_batches, texts
+from .common import raw, sha256, slices, texts
 
 # Fixed values of the format: element ids.
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
@@ -366,7 +366,7 @@ def packet_table(files: DataFrame, id_col: str = "doc_id", content_col: str = "c
     cut off has those before the cut; null ids and repeated rows are kept as they come; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 16):
             for i, data in enumerate(batch.column(1)):
                 rows = parse(data.as_py()).packets
                 if rows:
@@ -374,7 +374,7 @@ def packet_table(files: DataFrame, id_col: str = "doc_id", content_col: str = "c
                     ids = pa.array([batch.column(0)[i].as_py()] * len(rows), pa.int64())
                     yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in columns[:5]), pa.array([LACINGS[x] for x in columns[5]]), pa.array(columns[6])], ["id", "track", "cluster", "timestamp_ns", "offset", "size", "lacing", "keyframe"])
 
-    rows = small_batches(files, 16).select(files[id_col].cast("long").alias("id"), files[content_col].alias("content"))
+    rows = files.select(files[id_col].cast("long").alias("id"), files[content_col].alias("content"))
     return rows.mapInArrow(run, f"id long, {PACKETS}").withColumnRenamed("id", id_col)
 
 
@@ -382,14 +382,14 @@ def cue_table(files: DataFrame, id_col: str = "doc_id", content_col: str = "cont
     """A row for each cue: id, time_ns, track, offset. Cases as in packet_table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 16):
             for i, data in enumerate(batch.column(1)):
                 rows = parse(data.as_py()).cues
                 if rows:
                     ids = pa.array([batch.column(0)[i].as_py()] * len(rows), pa.int64())
                     yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], ["id", "time_ns", "track", "offset"])
 
-    rows = small_batches(files, 16).select(files[id_col].cast("long").alias("id"), files[content_col].alias("content"))
+    rows = files.select(files[id_col].cast("long").alias("id"), files[content_col].alias("content"))
     return rows.mapInArrow(run, "id long, time_ns long, track long, offset long").withColumnRenamed("id", id_col)
 
 
@@ -397,11 +397,11 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """(id, content): each text's padded bytes as the samples of a Matroska file. Null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for i, t in enumerate(texts(batch.column(1))):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([write_pcm(padded(raw(t)))], pa.binary())], ["id", "content"])
 
-    rows = small_batches(docs).select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     return rows.mapInArrow(run, "id long, content binary").withColumnRenamed("id", id_col)
 
 
@@ -414,7 +414,7 @@ def media_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     columns are ignored whatever their names; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for t in texts(batch.column(1)):
                 data = raw(t)
@@ -426,7 +426,7 @@ def media_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 c = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2]), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int64()), pa.array(c[5]), pa.array(c[6])], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    rows = small_batches(docs).select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     return rows.mapInArrow(run, f"id long, {ROUND_TRIP}").withColumnRenamed("id", id_col)
 
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, claim, raw, small_batches
+from .common import checkpointed, claim, raw, slices
 from .components import connected
 
 U = np.uint64
@@ -213,7 +213,7 @@ def groups_of(sets: list[np.ndarray], percent: int) -> list[int]:
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     claim("ngram_join", _WORDS.clear)
     held, chars = [], 0
-    for batch in batches:
+    for batch in slices(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             held.append(row)
             chars += len(row[-1] or "")
@@ -286,7 +286,7 @@ def _announce(own: DataFrame, buckets: int, width: int, percent: int) -> DataFra
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     held: list[dict] = []
-    for batch in batches:
+    for batch in slices(batches):
         for row in batch.to_pylist():
             if held and held[0]["bucket"] != row["bucket"]:
                 yield held
@@ -324,7 +324,7 @@ def _survivors(documents: DataFrame, found: DataFrame, percent: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("class", pa.string())])
-        for batch in batches:
+        for batch in slices(batches):
             for r in batch.to_pylist():
                 total = np.array(r["shared"], np.int64)
                 for f in r["found"] or ():
@@ -371,7 +371,7 @@ def _frequencies(sets: DataFrame, buckets: int) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("counts", pa.binary()), ("hashes", pa.binary())])
-        for batch in batches:
+        for batch in slices(batches):
             for r in batch.to_pylist():
                 h, times = _in_buckets(np.frombuffer(r["hashes"], U), buckets)
                 edges = np.searchsorted((h % U(buckets)).astype(np.int64), np.arange(buckets + 1))
@@ -394,7 +394,7 @@ def _prefixes(sets: DataFrame, often: DataFrame, buckets: int, percent: int) ->
     """(h, set): the n-grams of each set's prefix, rarest first, that other sets have too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for r in batch.to_pylist():
                 hashes = np.frombuffer(r["hashes"], U)
                 every, _ = _in_buckets(hashes, buckets)
@@ -420,7 +420,7 @@ def _rows_of(sets: DataFrame) -> DataFrame:
     """(set, hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for r in batch.to_pylist():
                 ends = np.cumsum(r["n"]) * 8
                 yield pa.RecordBatch.from_arrays([pa.array(_numbers(r["batch"], len(ends))), pa.array([r["hashes"][e - n * 8 : e] for e, n in zip(ends, r["n"], strict=True)], pa.binary())], ["set", "hashes"])
@@ -432,7 +432,7 @@ def _names(sets: DataFrame) -> DataFrame:
     """(set, class)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for r in batch.to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(_numbers(r["batch"], len(r["class"]))), pa.array(r["class"], pa.string())], ["set", "class"])
 
@@ -451,7 +451,7 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["u", "v"])
 
         held, last = [], None
-        for batch in batches:
+        for batch in slices(batches):
             keys = list(zip(batch.column("group").to_pylist(), batch.column("block").to_pylist(), strict=True))
             at = 0
             for i, k in enumerate(keys):
@@ -507,7 +507,7 @@ def _labelled(docs: DataFrame, percent: int, width: int, id_col: str, text_col:
     spark = docs.sparkSession
     buckets = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce(docs[text_col], F.lit(""))
-    own = small_batches(docs).select(docs[id_col].cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    own = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     asked = checkpointed(_announce(own, buckets, width, percent))
     documents = asked.where("bucket = -1").select("batch", "id", "th", "class", "n", "shared")
     chosen = _survivors(documents, _elsewhere(asked.where("bucket >= 0")), percent)

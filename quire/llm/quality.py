@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw, small_batches, texts
+from .common import raw, slices, texts
 
 #: Hashed words, factors, and bins of a statistic.
 WORDS, FACTORS, BINS = 1 << 13, 8, 8
@@ -155,11 +155,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", meta:
     features_of = Features(words, len(meta))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = _rows(batch.select([0, 2, *range(3, batch.num_columns)]), features_of)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i for i, _ in rows], pa.list_(pa.int32())), pa.array([v for _, v in rows], pa.list_(pa.float64()))], ["id", "y", "i", "v"])
 
-    own = small_batches(docs).select(docs[id_col].alias("id"), F.col(f"`{text_col}`").alias("text"), *_scaled(meta))
+    own = docs.select(docs[id_col].alias("id"), F.col(f"`{text_col}`").alias("text"), *_scaled(meta))
     # The labelled ids are at most max_labelled, so they are broadcast.
     joined = own.join(F.broadcast(chosen), "id").select("id", "y", "text", *[f"meta{i}" for i in range(len(meta))])
     got = joined.mapInArrow(run, "id long, y int, i array<int>, v array<double>").toArrow()
@@ -176,11 +176,11 @@ def score(docs: DataFrame, machine: Machine, meta: tuple[str, ...] = (), thresho
     features_of = Features(words, len(meta))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             s = np.concatenate([machine.score(_rows(batch.slice(at, 64), features_of)) for at in range(0, max(1, batch.num_rows), 64)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["id", "score"])
 
-    own = small_batches(docs).select(docs[id_col].cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), *_scaled(meta))
+    own = docs.select(docs[id_col].cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), *_scaled(meta))
     out = own.mapInArrow(run, "id long, score double")
     return out.select(F.col("id").alias(id_col), (fold(F.col("id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -190,7 +190,7 @@ def accepted(docs: DataFrame, machine: Machine, meta: tuple[str, ...] = (), thre
     features_of, names = Features(words, len(meta)), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 own = part.select([0, names.index(text_col), *range(len(names), part.num_columns)])
@@ -198,7 +198,7 @@ def accepted(docs: DataFrame, machine: Machine, meta: tuple[str, ...] = (), thre
                 yield part.select(list(range(len(names)))).filter(pa.array(keep))
 
     scaled = [c.alias(f"_meta{i}") for i, c in enumerate(_scaled(meta))]
-    return small_batches(docs).select(*[docs[c] for c in names], *scaled).mapInArrow(run, docs.schema)
+    return docs.select(*[docs[c] for c in names], *scaled).mapInArrow(run, docs.schema)
 
 
 #: The only metadata of the query.

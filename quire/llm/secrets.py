@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import sha256, small_batches, texts
+from .common import sha256, slices, texts
 
 #: Words that candidates which are no secrets are often made of.
 DICTIONARY = """
@@ -353,7 +353,7 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, id_col: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(i, c, p) for i, t, p in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist(), strict=True) for c in candidates(t)]
             if rows:
                 s = forest.score([(c, p) for _, c, p in rows])
@@ -363,7 +363,7 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, id_col: str =
                     ["id", "start", "end", "rule", "score", "secret", "sha256"],
                 )
 
-    own = small_batches(docs).selectExpr(f"cast(`{id_col}` as long) as id", f"`{text_col}` as text", f"cast(`{path_col}` as string) as path" if path_col else "cast(null as string) as path")
+    own = docs.selectExpr(f"cast(`{id_col}` as long) as id", f"`{text_col}` as text", f"cast(`{path_col}` as string) as path" if path_col else "cast(null as string) as path")
     return own.mapInArrow(run, f"id long, {FOUND}").withColumnRenamed("id", id_col)
 
 
@@ -374,7 +374,7 @@ def redact(docs: DataFrame, forest: Forest, threshold: float = 0.5, text_col: st
     where, path = names.index(text_col), names.index(path_col) if path_col else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             new = []
             paths = batch.column(path).to_pylist() if path is not None else [None] * batch.num_rows
             for t, p in zip(batch.column(where).to_pylist(), paths, strict=True):
@@ -387,7 +387,7 @@ def redact(docs: DataFrame, forest: Forest, threshold: float = 0.5, text_col: st
             columns[where] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 _FOREST: list[Forest] = []

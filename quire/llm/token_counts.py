@@ -14,7 +14,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import SAFE_CUT, batches_by_bytes, claim, raw, small_batches, texts
+from .common import SAFE_CUT, batches_by_bytes, claim, raw, slices, texts
 
 #: Bytes in one call to the library, and of the texts whose pieces are looked up together.
 CALL_BYTES, BATCH_BYTES = 1 << 18, 4 << 20
@@ -80,7 +80,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = _lengths(path)
-        for batch in batches:
+        for batch in slices(batches):
             t = texts(batch.column(1))
             size = [len(raw(x)) for x in t]
             n = []
@@ -91,7 +91,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 ["id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    rows = small_batches(docs).select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     out = rows.mapInArrow(run, "id long, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("id", id_col)
 

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quire.llm import suffix_dedup as sd
@@ -43,54 +44,105 @@ def corpus(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize(("length", "gram", "part"), [(40, 8, 20_000), (40, 16, 2), (25, 25, 3)])
-def test_equals_comparing_all_windows(spark, length, gram, part):
-    rows = corpus(length + part)
-    df = spark.createDataFrame([(i, t, 1, "z") for i, t in rows], "doc_id long, text string, h long, th string")
-    got = sd.remove_repeats(df, length, digest=True, gram=gram, part=part).collect()
+@pytest.mark.parametrize(("length", "gram", "unit", "most"), [(40, 8, 1 << 20, 4 << 20), (40, 16, 100, 300), (25, 25, 300, 500)])
+def test_equals_comparing_all_windows(spark, length, gram, unit, most):
+    rows = corpus(length + most % 7)
+    df = spark.createDataFrame([(i, t, 1, "z") for i, t in rows], "doc_id long, text string, h long, k1 string")
+    got = sd.remove_repeats(df, length, digest=True, gram=gram, unit=unit, most=most).collect()
     want = [(i, len(d), sum(b - a for a, b in s), len(s), hashlib.sha256(cut(d, s)).hexdigest()) for i, d, s in brute(rows, length)]
     assert Counter(map(tuple, got)) == Counter(want) and any(w[2] for w in want)
 
 
-@pytest.mark.parametrize("part", [20_000, 2])
-def test_the_first_stays(spark, part):
+@pytest.mark.parametrize(("unit", "most"), [(1 << 20, 4 << 20), (100, 300)])
+def test_the_first_stays(spark, unit, most):
     # Among rows of one id, or without id, a hash of the text decides which is first, so such rows are left out here.
     rows = [r for r in corpus(9) if r[0] not in (5, 7, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r.doc_id, bytes(r.kept)) for r in sd.remove_repeats(df, 40, "first", gram=8, part=part).collect()}
+    got = {(r.doc_id, bytes(r.kept)) for r in sd.remove_repeats(df, 40, "first", gram=8, unit=unit, most=most).collect()}
     assert got == {(i, cut(d, s)) for i, d, s in brute(rows, 40, "first")}
 
 
 def test_empty_tables_and_options(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert sd.remove_repeats(df).count() == 0
-    for bad in ({"min_len": 0}, {"gram": 300}, {"keep": "last"}):
+    for bad in ({"min_len": 0}, {"gram": 300}, {"keep": "last"}, {"unit": 5, "most": 4}):
         with pytest.raises(ValueError):
             sd.remove_repeats(df, **bad)
 
 
 def test_anchors_cover_all_windows_across_blocks():
     data = random.Random(1).randbytes(sd.BLOCK * 2 + 777)
-    h, first, n = sd.anchors(data, 200, 32)
-    assert n.sum() == len(data) - 199 and np.array_equal(np.cumsum(n)[:-1], first[1:])
+    h, first, n, several = sd.anchors(data, 200, 32)
+    assert n.sum() == len(data) - 199 and np.array_equal(np.cumsum(n)[:-1], first[1:]) and several.sum() <= 2
     again = sd.anchors(data[12_345:], 200, 32)
     assert set(again[0].tolist()) <= set(h.tolist())
 
 
-def test_matches_are_previous_and_next_factors():
-    """Against longest previous factors from a sorted list of suffixes."""
+def test_a_run_of_one_anchor_is_one_stretch():
+    for data in (b"a" * 1_000_000, b"ab" * 500_000):
+        h, first, n, several = sd.anchors(data, 200, 32)
+        assert len(set(h.tolist())) == 1 and several.all() and n.sum() == 999_801 and n.max() == sd.PIECE
+        assert np.array_equal(np.cumsum(n)[:-1], first[1:])
+
+
+def longest_previous(s, starts):
+    """Brute force."""
+    common = lambda i, j: next((k for k in range(len(s) - i) if s[i + k] != s[j + k]), len(s) - i)
+    return [max((common(i, j) for j in starts if j < i), default=0) for i in starts]
+
+
+def test_factors_against_longest_previous_factors():
     rnd = random.Random(2)
-    for _ in range(20):
-        s = bytes(rnd.choice(b"ab") for _ in range(80))
-        length = 5
-        n = len(s) - length + 1
-        row, place, a, b = sd.fingerprints([s], np.array([n]), length)
-        earlier, later = sd.matches(a, b, place)
-        common = lambda i, j: next((k for k in range(len(s)) if s[i + k : i + k + 1] != s[j + k : j + k + 1] or i + k >= len(s)), len(s))
-        order = sorted(range(len(s)), key=lambda i: s[i:])
-        lpf = [0] * len(s)
-        for at, i in enumerate(order):
-            smaller = [next((order[x] for x in r if order[x] < i), None) for r in (range(at - 1, -1, -1), range(at + 1, len(s)))]
-            lpf[i] = max((common(i, j) for j in smaller if j is not None), default=0)
-        assert [x >= length for x in lpf[:n]] == earlier.tolist()
-        assert later.tolist() == [s.find(s[i : i + length], i + 1) >= 0 for i in range(n)]
+    for letters in (b"ab", b"abcdefgh", b"a", bytes(range(256))):
+        s = bytes(rnd.choice(letters) for _ in range(150))
+        s += s[20:60] + s[:30]
+        for limit in (1, 2, 3, 5, 9, 16, 30, 41):
+            starts = np.array(sorted(rnd.sample(range(len(s) - limit + 1), 120)))
+            order, cls = sd.suffix_order(np.frombuffer(s, np.uint8), starts, limit)
+            key = [(s[i : i + limit], i) for i in starts.tolist()]
+            assert [key[i] for i in order.tolist()] == sorted(key)
+            assert [key[a][0] == key[b][0] for a, b in zip(order[1:], order, strict=False)] == [a == b for a, b in zip(cls[1:], cls, strict=False)]
+            earlier, later = sd.factors(np.frombuffer(s, np.uint8), starts, limit)
+            assert [x >= limit for x in longest_previous(s, starts.tolist())] == earlier.tolist()
+            back = [any(s[i : i + limit] == s[j : j + limit] for j in starts.tolist() if j > i) for i in starts.tolist()]
+            assert later.tolist() == back
+
+
+def test_units_are_bounded():
+    row = lambda h, part, n: {"h": h, "part": part, "k1": 0, "k2": 0, "did": 0, "first": 0, "n": 2, "blob": b"x" * n}
+    kinds = [("h", pa.int64()), ("part", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("did", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("blob", pa.binary())]
+    rows = [row(1, -1, 30)] * 3 + [row(2, -1, 30)] * 50 + [row(3, 0, 30)] * 2 + [row(4, -1, 10)] * 30
+    batches = [pa.RecordBatch.from_pylist(rows[a : a + 7], pa.schema(kinds)) for a in range(0, len(rows), 7)]
+    got = list(sd._units(iter(batches), 200, 400))
+    assert sum(t.num_rows for t, _ in got) == len(rows) and all(sum(map(len, t["blob"].to_pylist())) <= 400 for t, _ in got)
+    flags = defaultdict(set)
+    where = defaultdict(set)
+    for u, (t, shared) in enumerate(got):
+        for h, s in zip(t["h"].to_pylist(), shared.tolist(), strict=True):
+            flags[h].add(s)
+            where[h].add(u)
+    assert flags[2] == flags[3] == {True} and flags[1] == {False} and all(flags[h] == {True} for h in where if len(where[h]) > 1)
+
+
+def thue_morse(levels, a, b):
+    x, y = a, b
+    for _ in range(levels):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_hard_texts(spark):
+    """One letter, one line over and over, copies beyond number, and texts whose polynomial hashes are equal."""
+    line = "all rights reserved, and nothing in this line of two hundred letters may be used again without a word. " * 2
+    one, other = thue_morse(10, "a", "b")
+    rnd = random.Random(4)
+    clean = ["".join(rnd.choice("abcdefghij ") for _ in range(400)) for _ in range(3)]
+    rows = [(1, "a" * 2_000_000), (2, (line + "\n") * 3000), *[(None, line)] * 20_000, *((100 + i, f"{i} {line} {i}") for i in range(20_000)), *enumerate(clean, 50_000), (60_000, one), (60_001, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {(r.doc_id, r.n_bytes): r for r in sd.remove_repeats(df).collect()}
+    assert got[1, 2_000_000].n_removed == 2_000_000 and got[2, 3000 * (len(line) + 1)].n_removed == 3000 * (len(line) + 1)
+    assert got[None, len(line)].n_removed == len(line)
+    assert all(r.n_removed >= len(line) + 2 for r in got.values() if r.doc_id and 100 <= r.doc_id < 20_100)
+    assert all(got[i, 400].n_removed == 0 for i in range(50_000, 50_003))
+    long = sd.remove_repeats(df.where("doc_id >= 60000"), 1024).collect()
+    assert [r.n_removed for r in long] == [0, 0]
