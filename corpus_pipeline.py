@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.byte_bpe import bpe_encode
-from quire.llm.common import stored, table
+from quire.llm.common import removed, stored, table
 from quire.llm.mixing import mixed_documents
 from quire.llm.ngram_join import one_of_each
 from quire.llm.quality import META, accepted, train
@@ -59,8 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. What a stage returns is written to the shared folder and read again; it is deleted once
+    the next stage's result is written, so at the end one stage's is left, which the result is read from."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs, place = stored(stage(spark, docs, sf_dir))
+        if before is not None:
+            removed(spark, before)
+        before = place
     return STAGES[-1][1](spark, docs, sf_dir)
