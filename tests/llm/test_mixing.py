@@ -31,7 +31,7 @@ def test_targets_and_cut(spark, scale):
         sizes[r.source] += r["size"]
         taken[r.source] += r.taken
         largest[r.source] = max(largest[r.source], r["size"])
-        assert r.taken == r["size"] * r.copies <= 3 * r["size"]
+        assert r.taken == r["size"] * r.copies and r.copies <= 3
     want = filled(sizes)
     for r in got:
         assert r.source_size == sizes[r.source] and math.isclose(r.target, want[r.source], rel_tol=1e-12, abs_tol=1e-12)
@@ -56,3 +56,39 @@ def test_reruns_and_documents_agree(spark):
     times = Counter(r.doc_id for r in mixed_documents(df).collect())
     assert times == Counter({r[0]: r[5] for r in first if r[5]})
     assert mixed_documents(df).columns == df.columns
+
+
+def test_no_row_is_taken_more_than_cap_times(spark):
+    """Empty texts too, in a source that is at its cap."""
+    rows = [(i, "", "a") for i in range(30)] + [(30, "one two three", "a")] + [(31 + i, "w " * 50, "b") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(df).collect()
+    assert max(r.copies for r in got) <= 3 and {r.taken for r in got if r.doc_id == 30} == {9}
+    assert max(Counter(r.doc_id for r in mixed_documents(df).collect()).values()) <= 3
+
+
+@pytest.mark.parametrize("same_text", [True, False])
+@pytest.mark.parametrize("ident", [7, None])
+def test_rows_of_one_id_keep_the_budget(spark, same_text, ident):
+    rows = [(ident, "w " * 10 if same_text else "w " * 9 + f"w{i}", "a", i) for i in range(40)] + [(100 + i, "w " * 10, "b", i) for i in range(20)] + [(None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    got = mix(df).collect()
+    target = {r.source: r.target for r in got}
+    assert target == {"a": 200.0, "b": 400.0, None: 0.0} and len(got) == len(rows)
+    taken, written = Counter(), Counter()
+    for r in got:
+        taken[r.source] += r.taken
+    out = mixed_documents(df).collect()
+    for r in out:
+        written[r.source] += len(r.text.split())
+    assert abs(taken["a"] - 200) <= 10 and abs(taken["b"] - 400) <= 10 and written == Counter({k: v for k, v in taken.items() if v})
+    assert sorted(out, key=str) == sorted(mixed_documents(df.repartition(5)).collect(), key=str)
+
+
+def test_very_long_texts_and_hot_rows(spark):
+    rows = [(1, "word " * 400_000, "a"), *[(None, "x y", "a")] * 3000, *((i, "p q r", "b") for i in range(500))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = mix(df).collect()
+    assert len(got) == len(rows) and all(r.copies <= 3 for r in got)
+    taken = sum(r.taken for r in got if r.source == "b")
+    assert taken == 4500 and {r["size"] for r in got} == {400_000, 2, 3}
