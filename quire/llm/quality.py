@@ -147,7 +147,8 @@ def _rows(batch: pa.RecordBatch, features: Features) -> list:
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", meta: tuple[str, ...] = (), max_labelled: int = MAX_LABELLED, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> Machine:
     """A machine fitted on rows of docs that labels marks 0 or 1, of ids whose fold isn't 0, max_labelled of them at
-    most: those with the smallest hash of their id. An id that is labelled twice counts once, with its larger label."""
+    most: those with the smallest hash of their id. An id that is labelled twice counts once, with its larger label; one
+    that several rows of docs have counts once too, with the row whose features have the smallest hash."""
     chosen = (
         labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & (fold(F.col("id")) != 0))
         .groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
@@ -162,7 +163,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", meta:
     own = docs.select(docs[id_col].alias("id"), F.col(f"`{text_col}`").alias("text"), *_scaled(meta))
     # The labelled ids are at most max_labelled, so they are broadcast.
     joined = own.join(F.broadcast(chosen), "id").select("id", "y", "text", *[f"meta{i}" for i in range(len(meta))])
-    got = joined.mapInArrow(run, "id long, y int, i array<int>, v array<double>").toArrow()
+    made = joined.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, y int, i array<int>, v array<double>")
+    # A row for each labelled id, however often docs has it, so the driver gets max_labelled rows at most.
+    got = made.groupBy("id").agg(F.min(F.struct(F.xxhash64("i", "v").alias("h"), "y", "i", "v")).alias("r")).select("id", "r.y", "r.i", "r.v").toArrow()
     sample = sorted(zip(got["id"].to_pylist(), got["y"].to_pylist(), (x.values.to_numpy() for x in got["i"]), (x.values.to_numpy() for x in got["v"]), strict=True), key=lambda r: (r[0], r[1], r[2].tolist(), r[3].tolist()))
     return fit([(r[2], r[3]) for r in sample], [r[1] for r in sample], features_of.dims)
 

@@ -1,7 +1,7 @@
 """Secret scans: rules find candidates, a random forest trained from labelled findings removes false ones.
 
-Rules: known key prefixes, values assigned to names such as "password" or "token", private key blocks, and long runs of
-letters and digits. The forest sees a candidate's length, its character transitions, how much of it dictionary words
+Rules: known key prefixes, values assigned to names such as "password" or "token", passwords in addresses, private key
+blocks, and long runs of letters and digits. The forest sees a candidate's length, its character transitions, how much of it dictionary words
 cover, the path it stands in and the words next to it.
 """
 
@@ -50,22 +50,24 @@ PREFIXES = {
     "stripe": r"[rs]k_live_[A-Za-z0-9]{16,}",
     "jwt": r"eyJ[A-Za-z0-9_-]{10,}",
 }
-_PREFIX = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PREFIXES.items()))
+_PREFIX = re.compile("(?<![A-Za-z0-9])(?:" + "|".join(f"(?P<{k}>{v})" for k, v in PREFIXES.items()) + ")")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _SIGN = re.compile(r"""["']?\s{0,3}[:=]""")
 _OPEN = re.compile(r"""\s{0,3}["']?""")
 _STOP = re.compile(r"""[\s"'<>,;]""")
 _NEXT = re.compile(r"[&?|][\w.\-]*$")
 _NAME = re.compile(r"(?i)(passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[a-z_]*key|credentials?)s?$")
-_PEM = re.compile(r"-----BEGIN ([A-Z ]{0,20}PRIVATE KEY)-----.*?-----END \1-----", re.S)
+_JWT = re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]{4,}){1,2}")
+_URL = re.compile(r"://[^\s/:@]*:([^\s/@]{3,})@")
+_PEM = re.compile(r"-----(BEGIN|END) ([A-Z ]{0,20}PRIVATE KEY)-----")
 _WORDS = re.compile("|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=lambda w: (-len(w), w))))
 _GOOD_NEAR = re.compile(r"(?i)passw|pwd|secret|token|api.?key|access|credential|auth|private|bearer")
 _BAD_NEAR = re.compile(r"(?i)\b(?:sha-?\d*|md5|commit|checksum|digest|integrity|hash|uuid|guid|revision|etag|build|version|example|placeholder|sample|dummy|href|src|url|import|class|def|id)\b")
 _BAD_PATH = re.compile(r"(?i)test|spec|example|sample|mock|fixture|doc|demo|lock|vendor|node_modules|min\.js|dist|\.md|\.lock|\.svg|\.html?")
 _GOOD_PATH = re.compile(r"(?i)\.env|config|settings|deploy|prod|credential|\.ya?ml|\.properties|\.ini|\.tf|\.sh|\.pem")
 
-#: Characters that an assigned value has at least.
-MIN_ASSIGNED = 6
+#: Characters that an assigned value, and a run, have at least.
+MIN_ASSIGNED, MIN_RUN = 6, 16
 #: Characters on either side of a candidate that count as its neighbours.
 NEAR = 40
 
@@ -95,20 +97,45 @@ def assigned(text: str) -> Iterator[tuple[int, int]]:
             yield a, b
 
 
+def key_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Private keys: from a BEGIN line to the first END line of its kind. All lines are found in one pass."""
+    marks = list(_PEM.finditer(text)) if "-----BEGIN" in text else []
+    after: dict[str, re.Match] = {}
+    closed: list[re.Match | None] = [None] * len(marks)
+    for i in range(len(marks) - 1, -1, -1):
+        closed[i] = after.get(marks[i][2])
+        if marks[i][1] == "END":
+            after[marks[i][2]] = marks[i]
+    end = 0
+    for m, last in zip(marks, closed, strict=True):
+        if m[1] == "BEGIN" and last is not None and m.start() >= end:
+            end = last.end()
+            yield m.start(), end
+
+
+def in_run(run: str, start: int) -> Iterator[tuple[int, int, str]]:
+    """A run's parts: known prefixes begin a part of their own wherever they stand, not after a letter or digit."""
+    known = [m for m in _PREFIX.finditer(run)]
+    if not known or known[0].start():
+        known = [None, *known]
+    for m, after in zip(known, [*known, None][1:], strict=True):
+        a, b = m.start() if m else 0, after.start() if after else len(run)
+        if m:
+            yield start + a, start + b, m.lastgroup
+        elif b - a >= MIN_RUN and any(c.isdigit() for c in run[a:b]) and any(c.isalpha() for c in run[a:b]):
+            yield start + a, start + b, "run"
+
+
 def candidates(text: str) -> list[Candidate]:
-    """What the rules find, in order, without overlaps: of spans that meet, the first holds, and what another has beyond
-    its end is a candidate of its own."""
-    spans: list[tuple[int, int, str]] = []
-    if "-----BEGIN" in text:
-        spans += [(m.start(), m.end(), "private_key") for m in _PEM.finditer(text)]
+    """What the rules find, in order, without overlaps: of spans that meet, the first holds (the longer one where they
+    start together), and what another has beyond its end is a candidate of its own. Time grows with the text's length."""
+    spans: list[tuple[int, int, str]] = [(a, b, "private_key") for a, b in key_blocks(text)]
     spans += [(a, b, "assigned") for a, b in assigned(text)]
+    spans += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text)]
+    if "://" in text:
+        spans += [(m.start(1), m.end(1), "url") for m in _URL.finditer(text)]
     for m in _RUN.finditer(text):
-        run = m.group()
-        known = _PREFIX.match(run)
-        if known:
-            spans.append((m.start(), m.end(), known.lastgroup))
-        elif any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
-            spans.append((m.start(), m.end(), "run"))
+        spans += in_run(m.group(), m.start())
     out, end = [], 0
     for a, b, rule in sorted(spans, key=lambda s: (s[0], -s[1])):
         a = max(a, end)
@@ -166,7 +193,7 @@ def features(c: Candidate, path: str | None, transitions: Transitions) -> list[f
     return [
         math.log2(n), transitions.mean(s), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, entropy, covered / n, len(counts) / min(n, 64),
         kinds.count(2) / n, kinds.count(1) / n, sum(x in "0123456789abcdefABCDEF" for x in s) / n, longest / n, max(counts.values()) / n, steps / n,
-        float(c.rule in PREFIXES) + 2.0 * (c.rule == "private_key"), float(c.rule == "assigned"), float(bool(_GOOD_NEAR.search(near))),
+        float(c.rule in PREFIXES) + 2.0 * (c.rule == "private_key"), float(c.rule == "assigned") + 2.0 * (c.rule == "url"), float(bool(_GOOD_NEAR.search(near))),
         float(bool(_BAD_NEAR.search(near + " " + c.after[:12]))), float(bool(_BAD_PATH.search(path or ""))), float(bool(_GOOD_PATH.search(path or ""))), shape,
     ]
 
@@ -288,8 +315,20 @@ def labelled_findings(n: int = 4000, seed: int = 5) -> list[Finding]:
     while len(out) < n:
         before, after, rule = prose() + " ", " " + prose(), "run"
         if len(out) % 2:
-            kind = rnd.randrange(7)
-            if kind == 0:
+            kind = rnd.randrange(11)
+            if kind == 7:
+                s, rule = rnd.choice(["xoxb-", "xoxp-", "xoxa-"]) + "-".join(pick(_HEX[:10], 12) for _ in range(2)) + "-" + pick(_B64[:62], 24), "slack"
+            elif kind == 8:
+                s, rule = ".".join(["eyJ" + pick(_B64[:62], rnd.randint(17, 33)), "eyJ" + pick(_B64[:62], rnd.randint(30, 200)), pick(_B64[:62] + "-_", 43)]), "jwt"
+            elif kind == 9:
+                name = rnd.choice(["", "RSA ", "EC ", "OPENSSH "]) + "PRIVATE KEY"
+                lines = "\n".join(pick(_B64, 64) for _ in range(rnd.randint(3, 26)))
+                s, rule = f"-----BEGIN {name}-----\n{lines}\n{pick(_B64, rnd.randint(4, 60))}==\n-----END {name}-----", "private_key"
+            elif kind == 10:
+                s, rule = pick(_B64[:62] + "!$%*-_", rnd.randint(8, 24)) if rnd.random() < 0.5 else word() + str(rnd.randint(1, 9999)) + word() + pick(_B64[:62], rnd.randint(0, 4)) + rnd.choice("0123456789!"), "url"
+                before += f"{rnd.choice(['postgres', 'mysql', 'amqp', 'https', 'redis', 'mongodb'])}://{rnd.choice(['', 'user', 'admin', word()])}:"
+                after = f"@{word()}.{rnd.choice(['internal', 'net', 'local'])}:{rnd.randint(1000, 9999)}/{word()}"
+            elif kind == 0:
                 s, rule = "AKIA" + pick(_UPPER, 16), "aws"
             elif kind == 1:
                 s, rule = rnd.choice(["ghp_", "gho_"]) + pick(_B64[:62], 36), "github"
@@ -304,7 +343,7 @@ def labelled_findings(n: int = 4000, seed: int = 5) -> list[Finding]:
                 after, rule = quote + after, "assigned"
             out.append(Finding(Candidate(0, len(s), rule, s, before[-NEAR:], after[:NEAR]), rnd.choice(paths), True))
             continue
-        kind, path = rnd.randrange(9), rnd.choice(bad_paths)
+        kind, path = rnd.randrange(13), rnd.choice(bad_paths)
         assigned = rnd.random() < 0.4
         if kind == 0:
             s = "".join(word().title() for _ in range(rnd.randint(3, 6))) + str(rnd.randint(0, 99))
@@ -328,9 +367,20 @@ def labelled_findings(n: int = 4000, seed: int = 5) -> list[Finding]:
             rule = "aws" if s.startswith("AKIA") else rule
         elif kind == 7:
             s = pick(_LOWER, rnd.randint(4, 9)) + "-" + "-".join(word() for _ in range(3)) + f"-{rnd.randint(1, 2030)}"
-        else:
+        elif kind == 8:
             s = "get" + "".join(word().title() for _ in range(3)) + "()" + rnd.choice(["", ".value", "[0]"])
             assigned = True
+        elif kind == 9:
+            s, rule = rnd.choice(["xoxb-your-{}-token", "xoxb-xxxxxxxxxxxx-{}", "xoxp-{}-placeholder", "xoxb-0000000000-{}"]).format(word()), "slack"
+        elif kind == 10:
+            s, rule = rnd.choice(["eyJ" + rnd.choice("xX.a")[0] * 20, "eyJhbGciOi_{}_header.payload.signature".format(word()), "eyJ-your-{}-token-here".format(word())]), "jwt"
+        elif kind == 11:
+            name = rnd.choice(["", "RSA ", "EC "]) + "PRIVATE KEY"
+            s, rule = f"-----BEGIN {name}-----" + rnd.choice(["\n...\n", "\n<your key here>\n", " and ", "\nxxxxxxxxxxxxxxxx\n", f"\n{word()} {word()}\n", "..."]) + f"-----END {name}-----", "private_key"
+        else:
+            s, rule = rnd.choice(["password", "pass", "changeme", "secret", "<password>", "${PASSWORD}", "{password}", "your_password", "xxxx", word()]), "url"
+            before += f"{rnd.choice(['postgres', 'mysql', 'amqp', 'https', 'redis'])}://{rnd.choice(['', 'user', 'admin', word()])}:"
+            after = f"@{rnd.choice(['localhost', 'example.com', 'host', word()])}:{rnd.randint(1000, 9999)}/{word()}"
         if assigned and rule == "run":
             before += rnd.choice(names) + rnd.choice(["=", " = ", ": "])
             rule = "assigned"
