@@ -45,6 +45,11 @@ def stored(df: DataFrame) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(place), place
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """stored() without the place: for chains of many steps, as plans read from files don't grow from step to step."""
+    return stored(df)[0]
+
+
 def removed(spark: SparkSession, place: str) -> None:
     """Deletes what stored() has written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(place)
@@ -56,19 +61,21 @@ def removed(spark: SparkSession, place: str) -> None:
 SHARE = 1 / 1000
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], times: str, salt: Column, how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], times: str, salt: Column, total: int | None = None) -> DataFrame:
     """left joined with right, which has a row for each key of `on` and in `times` how many rows of left have it. times
     stays out of the result. salt is a column of left that tells rows of a key apart.
 
     Keys with more than SHARE of all those rows are dealt out over tasks: their rows of right, a bounded number, are
-    broadcast to mark left's rows, and then copied once for each part. right should be checkpointed: it is read three times.
+    broadcast to mark left's rows, and then copied once for each part. right should be checkpointed: it is read several
+    times. total is the sum of times, where that is known.
     """
-    total = right.agg(F.sum(times)).first()[0] or 0
+    if total is None:
+        total = right.agg(F.sum(times)).first()[0] or 0
     parts = F.ceil(F.col(times) / F.lit(max(1.0, total * SHARE))).cast("int")
     hot = right.where(parts > 1).select(*on, parts.alias("_parts"))
     dealt = left.withColumn("_s", F.pmod(salt, F.lit(1 << 20))).join(F.broadcast(hot), on, "left").withColumn("_s", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod("_s", F.col("_parts"))).cast("int"))
     copied = right.withColumn("_s", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(times)
-    return dealt.drop("_parts").join(copied, [*on, "_s"], how).drop("_s")
+    return dealt.drop("_parts").join(copied, [*on, "_s"]).drop("_s")
 
 
 def texts(column: pa.Array) -> list[str]:

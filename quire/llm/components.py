@@ -2,26 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import removed, spread_join, stored
+
+
+def _order(node: Column, turn: int) -> Column:
+    """What neighbours are compared by: their numbers in the first two turns, then hashes of them."""
+    return F.xxhash64(node, F.lit(turn)) if turn > 1 else node
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, label): each node of edges (u, v), with the smallest node that it can reach.
+    """(node, label): each node of edges (u, v), two longs, with the smallest node that it can reach.
 
-    Labels fall to the smallest among neighbours, then to their label's label, until nothing changes; every round is
-    cut off by a checkpoint in the shared folder. Nodes without edges don't appear; loops and repeated edges are
-    allowed, nulls aren't.
+    Each turn every node is called by the first of itself and its neighbours, and edges between nodes of different names
+    become edges between the names, until none are left. By number a star of any size takes two turns at most; by hash
+    long paths, too, lose a constant share of their nodes. Minima are taken before rows are exchanged, and nodes or names
+    with a large share of all rows are dealt out, so hubs land in no single task. Every turn is cut off by a table in
+    the shared folder (a checkpoint would carry the constraints of all turns along, and plans would grow). Nodes without edges don't appear; loops and repeated edges are allowed, nulls aren't.
     """
-    both = checkpointed(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = checkpointed(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
-        jump = low.select(F.col("node").alias("low"), F.col("low").alias("far"))
-        new = checkpointed(low.join(jump, "low").select("node", F.least("low", "far").alias("new"), "label"))
-        if new.where("new <> label").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", F.col("new").alias("label"))
+    spark = edges.sparkSession
+    left, place = stored(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    levels: list[DataFrame] = []
+    # (A node's times are counted in both directions, so twice the edges are all of them.)
+    while total := 2 * left.count():
+        turn = len(levels)
+        both = left.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(left.select(F.col("v").alias("node"), F.col("u").alias("other")))
+        by = _order(F.col("other"), turn)
+        named = both.groupBy("node").agg(F.min_by("other", by).alias("other"), F.min(by).alias("by"), F.count("*").alias("times"))
+        own = _order(F.col("node"), turn)
+        level, _ = stored(named.select("node", F.when(own <= F.col("by"), F.col("node")).otherwise(F.col("other")).alias("label"), "times"))
+        levels.append(level)
+        ends = left
+        for end, other in (("u", "v"), ("v", "u")):
+            names = level.select(F.col("node").alias(end), F.col("label").alias(f"new_{end}"), "times")
+            ends = spread_join(ends, names, [end], "times", F.hash(other), total)
+        a, b = F.col("new_u"), F.col("new_v")
+        before = place
+        left, place = stored(ends.where(a != b).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct())
+        removed(spark, before)
+    if not levels:
+        return left.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    # Names of names, from the last turn back; then the smallest node of each.
+    roots = levels[-1].select("node", "label")
+    for level in levels[-2::-1]:
+        uses = level.groupBy("label").agg(F.count("*").alias("times"))
+        names = uses.join(roots.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").withColumn("root", F.coalesce("root", "label"))
+        roots, _ = stored(spread_join(level.select("node", "label"), stored(names)[0], ["label"], "times", F.hash("node")).select("node", F.col("root").alias("label")))
+    least, _ = stored(roots.groupBy("label").agg(F.min("node").alias("least"), F.count("*").alias("times")))
+    return spread_join(roots, least, ["label"], "times", F.hash("node")).select("node", F.col("least").alias("label"))

@@ -14,7 +14,7 @@ class from the start. Then:
    remain can't bring any of its sets to the threshold. Sets that are found leave the tree and are looked up next, so
    a group of near copies costs little more than its size.
 
-A group too large for one task is dealt into blocks; see links_in_groups().
+A group too large for one task, in sets or in bytes, is dealt into blocks; see links_in_groups().
 """
 
 from __future__ import annotations
@@ -29,14 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, claim, raw, slices
+from .common import claim, kept, raw, slices, spread_join
 from .components import connected
 
 U = np.uint64
 #: Documents and characters of a batch whose hashes are announced together.
 BATCH_DOCS, BATCH_CHARS = 1500, 8 << 20
-#: Sets of a group that meet in one task.
-GROUP = 2000
+#: Sets of a group that meet in one task, and bytes of their hashes.
+GROUP, GROUP_BYTES = 2000, 16 << 20
 
 
 class _Words(dict):
@@ -356,7 +356,9 @@ def _sets(own: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_pylist([{"batch": number, "class": [d[0] for d in docs], "n": [len(s) for s in sets], "hashes": np.concatenate(sets).tobytes()}], schema)
 
     keyed = chosen.select(F.coalesce("id", F.lit(-1)).alias("did"), "th", "class").groupBy("class").agg(F.min(F.struct("did", "th")).alias("k")).select("class", "k.did", "k.th")
-    return own.withColumn("did", F.coalesce("id", F.lit(-1))).join(keyed, ["did", "th"]).select("class", "text").mapInArrow(run, _SETS)
+    # Rows alike in id and text are one.
+    distinct = own.select(F.coalesce("id", F.lit(-1)).alias("did"), "th", "text").dropDuplicates(["did", "th"])
+    return distinct.join(keyed, ["did", "th"]).select("class", "text").mapInArrow(run, _SETS)
 
 
 def _in_buckets(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -429,14 +431,14 @@ def _rows_of(sets: DataFrame) -> DataFrame:
 
 
 def _names(sets: DataFrame) -> DataFrame:
-    """(set, class)."""
+    """(set, class, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             for r in batch.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(_numbers(r["batch"], len(r["class"]))), pa.array(r["class"], pa.string())], ["set", "class"])
+                yield pa.RecordBatch.from_arrays([pa.array(_numbers(r["batch"], len(r["class"]))), pa.array(r["class"], pa.string()), pa.array(r["n"], pa.int32())], ["set", "class", "n"])
 
-    return sets.select("batch", "class").mapInArrow(run, "set long, class string")
+    return sets.select("batch", "class", "n").mapInArrow(run, "set long, class string, n int")
 
 
 def _joined(rows: DataFrame, percent: int) -> DataFrame:
@@ -469,62 +471,83 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def links_in_groups(sets: DataFrame, groups: DataFrame, percent: int, group_size: int) -> DataFrame:
-    """Edges (u, v) that connect what links connect, for sets (set, hashes) and their groups (set, group, members).
+def links_in_groups(sets: DataFrame, groups: DataFrame, prefixes: DataFrame, percent: int, group_size: int, group_bytes: int) -> DataFrame:
+    """Edges (u, v) that connect what links connect, for sets (set, hashes), their groups (set, group, n, members, total),
+    where total is the sum of n in the group, and the prefixes (h, set) that the groups come from.
 
-    A group of more than group_size sets is dealt into blocks that are joined on their own; then the first sets of what
-    has been connected are joined across blocks, which connects near copies. Only groups that then still have several
-    parts are joined block by block in pairs, so their links are found too, and no task holds more than two blocks.
-    Which sets meet is decided on numbers alone; hashes join them last.
+    A group of more than group_size sets or group_bytes bytes is dealt into blocks that are joined on their own; then the
+    first sets of what has been connected are joined across blocks, which connects near copies. Where a group then still
+    has several parts, links between them can only be among sets that share an n-gram of their prefixes: each such
+    n-gram's sets are joined, if they are of several parts. They are few, as prefixes are of the rarest n-grams; those of
+    one that has too many for a task are joined block by block in pairs. Which sets meet is decided on numbers alone;
+    hashes join them last.
     """
-    named = groups.withColumn("blocks", F.ceil(F.col("members") / group_size).cast("int")).withColumn("number", F.pmod(F.hash("set"), F.col("blocks")))
+
+    def blocks(members: str, total: str):
+        return F.ceil(F.greatest(F.col(members) / group_size, F.col(total) * 8 / group_bytes)).cast("int")
+
+    named = groups.withColumn("blocks", blocks("members", "total")).withColumn("number", F.pmod(F.hash("set"), F.col("blocks")))
 
     def joined(some: DataFrame) -> DataFrame:
         return _joined(sets.join(some.select("set", "group", "block"), "set"), percent)
 
-    edges = checkpointed(joined(named.withColumn("block", F.col("number").cast("string"))))
+    edges = kept(joined(named.withColumn("block", F.col("number").cast("string"))))
     large = named.where("blocks > 1")
     if large.isEmpty():
         return edges
 
     def labelled(edges: DataFrame) -> DataFrame:
-        return checkpointed(large.join(connected(edges).withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set")))
-
-    firsts = labelled(edges).where("set = label")
-    several = firsts.groupBy("group").agg(F.count("*").alias("firsts")).where("firsts > 1")
-    across = firsts.join(several, "group").withColumn("block", F.pmod(F.hash("set", F.lit(7)), F.ceil(F.col("firsts") / group_size).cast("int")).cast("string"))
-    edges = checkpointed(edges.unionByName(joined(across)))
-    still = labelled(edges)
-    apart = still.groupBy("group").agg(F.count_distinct("label").alias("apart")).where("apart > 1").select("group")
-    pairs = still.join(apart, "group").withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("number"))))
-    return checkpointed(edges.unionByName(joined(pairs.withColumn("block", F.concat_ws("-", F.least("number", "other"), F.greatest("number", "other"))))))
+        return kept(large.join(connected(edges).withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set")))
+
+    firsts = labelled(edges).where("set = label").select("set", "group", "n")
+    several = kept(firsts.groupBy("group").agg(F.count("*").alias("times"), F.sum("n").alias("sum")).where("times > 1").withColumn("firsts", F.col("times")))
+    across = spread_join(firsts, several, ["group"], "times", F.hash("set"))
+    edges = kept(edges.unionByName(joined(across.withColumn("block", F.pmod(F.hash("set", F.lit(7)), blocks("firsts", "sum")).cast("string")))))
+    still = labelled(edges).select("set", "label", "n")
+    shared = kept(prefixes.join(still, "set"))
+    lists = shared.groupBy("h").agg(F.count("*").alias("times"), F.sum("n").alias("sum"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    lists = kept(lists.select("h", "times", F.col("times").alias("listed"), "sum"))
+    if lists.isEmpty():
+        return edges
+    met = spread_join(shared.select("h", "set"), lists, ["h"], "times", F.hash("set")).withColumn("blocks", blocks("listed", "sum")).withColumn("number", F.pmod(F.hash("set", F.lit(3)), F.col("blocks")))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("number"))
+    pairs = met.withColumn("other", F.explode(F.when(F.col("blocks") > 1, others).otherwise(F.array(F.lit(0)))))
+    block = F.concat_ws("-", F.least("number", "other"), F.greatest("number", "other"))
+    return kept(edges.unionByName(joined(pairs.select("set", F.col("h").alias("group"), block.alias("block")))))
 
 
-def _labelled(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str, group_size: int, buckets: int | None) -> DataFrame:
-    """(id, th, class, n, label) for each row: its set's class and size, and what its connected group is called."""
+def _classes(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str, group_size: int, group_bytes: int, buckets: int | None) -> tuple[DataFrame, DataFrame]:
+    """(id, th, class, n) for each row, class null without words; and for each class (class, times, low, first): how many
+    rows it has, the smallest id and the first row (as in one_of_each) of all that links connect it with."""
     if not 50 <= percent <= 100:
         raise ValueError("percent is from 50 to 100")
     spark = docs.sparkSession
     buckets = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce(docs[text_col], F.lit(""))
     own = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    asked = checkpointed(_announce(own, buckets, width, percent))
+    asked = kept(_announce(own, buckets, width, percent))
     documents = asked.where("bucket = -1").select("batch", "id", "th", "class", "n", "shared")
     chosen = _survivors(documents, _elsewhere(asked.where("bucket >= 0")), percent)
-    sets = checkpointed(_sets(own, chosen, width))
-    prefixes = checkpointed(_prefixes(sets, _frequencies(sets, buckets), buckets, percent))
-    least = prefixes.groupBy("h").agg(F.min("set").alias("v"), F.count("*").alias("c")).where("c > 1").select("h", "v")
-    candidates = prefixes.join(least, "h").select(F.col("set").alias("u"), "v").where("u <> v").distinct()
-    groups = connected(candidates).select(F.col("node").alias("set"), F.col("label").alias("group"))
-    sized = checkpointed(groups.join(groups.groupBy("group").agg(F.count("*").alias("members")), "group"))
-    edges = links_in_groups(_rows_of(sets), sized, percent, group_size)
-    # Rows alike in id and text can have brought a class in twice.
-    labels = connected(edges).withColumnRenamed("node", "set").join(_names(sets), "set").groupBy("class").agg(F.min("label").cast("string").alias("label"))
+    sets = kept(_sets(own, chosen, width))
+    prefixes = kept(_prefixes(sets, _frequencies(sets, buckets), buckets, percent))
+    least = kept(prefixes.groupBy("h").agg(F.min("set").alias("v"), F.count("*").alias("times")).where("times > 1"))
+    candidates = spread_join(prefixes, least, ["h"], "times", F.hash("set")).select(F.col("set").alias("u"), "v").where("u <> v").distinct()
+    names = kept(_names(sets))
+    groups = kept(connected(candidates).select(F.col("node").alias("set"), F.col("label").alias("group")).join(names.select("set", "n"), "set"))
+    sizes = kept(groups.groupBy("group").agg(F.count("*").alias("times"), F.sum("n").alias("total")).withColumn("members", F.col("times")))
+    sized = kept(spread_join(groups, sizes, ["group"], "times", F.hash("set")))
+    edges = links_in_groups(_rows_of(sets), sized, prefixes, percent, group_size, group_bytes)
+    labels = connected(edges).withColumnRenamed("node", "set").join(names, "set").select("class", F.col("label").cast("string"))
     flat = documents.select(F.explode(F.arrays_zip("id", "th", "class", "n")).alias("d")).select("d.id", "d.th", "d.class", F.col("d.n").cast("long").alias("n"))
-    return flat.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    first = F.struct(F.col("id").isNull().alias("x"), "id", "th")
+    classes = flat.where("class is not null").groupBy("class").agg(F.count("*").alias("rows"), F.min("id").alias("low"), F.min(first).alias("first"))
+    called = kept(classes.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")))
+    linked = kept(called.groupBy("label").agg(F.count("*").alias("times"), F.min("low").alias("low"), F.min("first").alias("first")))
+    found = spread_join(called.select("class", "label", F.col("rows")), linked, ["label"], "times", F.hash("class"))
+    return flat, kept(found.select("class", F.col("rows").alias("times"), "low", "first"))
 
 
-def ngram_components(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text", group_size: int = GROUP, buckets: int | None = None) -> DataFrame:
+def ngram_components(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text", group_size: int = GROUP, group_bytes: int = GROUP_BYTES, buckets: int | None = None) -> DataFrame:
     """(id, n_shingles, component_id, class) for each row of docs.
 
     Two rows link when 100 * intersection >= percent * union of their n-gram sets; component_id is the smallest id that
@@ -533,17 +556,16 @@ def ngram_components(docs: DataFrame, percent: int = 75, width: int = 5, id_col:
     but are never a component's id: it is null where a component has no other. Rows may repeat, in id or whole; other
     columns are ignored whatever their names. An empty table gives no rows.
     """
-    labelled = _labelled(docs, percent, width, id_col, text_col, group_size, buckets)
-    smallest = labelled.where("label is not null").groupBy("label").agg(F.min("id").alias("component"))
-    out = labelled.join(smallest, "label", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"), "class")
+    flat, classes = _classes(docs, percent, width, id_col, text_col, group_size, group_bytes, buckets)
+    worded = spread_join(flat.where("class is not null"), classes.select("class", "times", "low"), ["class"], "times", F.hash("id", "th"))
+    out = worded.select("id", "n", F.col("low").alias("component_id"), "class").unionByName(flat.where("class is null").select("id", "n", F.col("id").alias("component_id"), "class"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "class")
 
 
-def one_of_each(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text", group_size: int = GROUP, buckets: int | None = None) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text", group_size: int = GROUP, group_bytes: int = GROUP_BYTES, buckets: int | None = None) -> DataFrame:
     """docs with one row of each connected group, that of the smallest id; null ids come last, of equal ids a hash of
     the text decides. Rows without words stay, all of them. Columns stay as they are; otherwise as ngram_components."""
-    labelled = _labelled(docs, percent, width, id_col, text_col, group_size, buckets)
-    first = labelled.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("x"), "id", "th")).alias("f")).select(F.col("f.id").alias("_id"), F.col("f.th").alias("_th"))
+    first = _classes(docs, percent, width, id_col, text_col, group_size, group_bytes, buckets)[1].select(F.col("first.id").alias("_id"), F.col("first.th").alias("_th")).distinct()
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     worded = text.rlike(r"[^\x20\x09-\x0D]")
     keyed = docs.where(worded).withColumns({"_id": F.col(f"`{id_col}`").cast("long"), "_th": F.xxhash64(text)})

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from quire.llm import ngram_join as nj
+from quire.llm.components import connected
 
 
 def shingle_set(text, width=5):
@@ -62,12 +63,12 @@ def corpus(seed, n=120, group=30):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "size"), [(1, 2000), (2, 4), (3, 9)])
-def test_equals_comparing_all_pairs(spark, seed, size, monkeypatch):
+@pytest.mark.parametrize(("seed", "size", "bytes_"), [(1, 2000, 16 << 20), (2, 4, 16 << 20), (3, 2000, 1500)])
+def test_equals_comparing_all_pairs(spark, seed, size, bytes_, monkeypatch):
     monkeypatch.setattr(nj, "BATCH_DOCS", 10)
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, "c", 1, 2) for i, t in rows], "doc_id long, text string, class string, n int, id int").repartition(3)
-    got = nj.ngram_components(df, group_size=size)
+    got = nj.ngram_components(df, group_size=size, group_bytes=bytes_)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows)
 
 
@@ -121,3 +122,47 @@ def test_many_buckets_and_a_long_text(spark):
     for buckets in (1, 700):
         got = sorted(tuple(r)[:3] for r in nj.ngram_components(df.repartition(2, "doc_id"), buckets=buckets).collect())
         assert [(r[0], r[2]) for r in got] == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 5)] and got[0][1] == 219_996
+
+
+def test_chained_groups_that_fall_apart(spark):
+    """A long chain of candidates without a link between its pieces, in blocks of two: only shared n-grams' lists meet."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(7))
+    shared = [[word() for _ in range(9)] for _ in range(60)]
+    rows = []
+    for i in range(59):
+        w = shared[i] + [word() for _ in range(4)] + shared[i + 1]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w, word()]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = nj.ngram_components(df, group_size=2).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+
+
+def test_rows_alike_beyond_number(spark):
+    rows = [(None, "one two three four five six seven")] * 100_000 + [(i, "one two three four five six seven") for i in range(20_000, 30_000)] + [(7, "one two three four five six seven eight")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = Counter((r.doc_id is None, r.n_shingles, r.component_id) for r in nj.ngram_components(df).collect())
+    assert got == {(True, 3, 7): 100_000, (False, 3, 7): 10_000, (False, 4, 7): 1}
+    assert [r.doc_id for r in nj.one_of_each(df).collect()] == [7]
+
+
+@pytest.mark.parametrize("kind", ["shuffled path", "high star", "random"])
+def test_components(spark, kind):
+    rnd = random.Random(3)
+    n = 120
+    ids = list(range(n)) if kind != "shuffled path" else rnd.sample(range(n), n)
+    edges = {"star": [(0, i) for i in range(1, n)], "high star": [(n, i) for i in range(n)], "random": [(rnd.randrange(n), rnd.randrange(n)) for _ in range(n // 2)]}.get(kind, list(zip(ids, ids[1:], strict=False)))
+    edges += edges[:5] + [(1000, 1000)]
+    up = {x: x for e in edges for x in e}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        up[b] = a
+    got = connected(spark.createDataFrame(edges, "u long, v long"))
+    assert {r.node: r.label for r in got.collect()} == {x: find(x) for x in up}
+    assert connected(spark.createDataFrame([], "u long, v long")).count() == 0
