@@ -142,15 +142,20 @@ def assemble(units: DataFrame, budget: Budget = Budget(), decisions: DataFrame |
     light = lambda x, i: F.struct(x["words"].alias("words"), x["unit_words"].alias("unit_words"), x["first"].alias("first"), x["oversize"].alias("oversize"), x["major"].alias("major"), x["brk"].alias("brk"), x["ocr"].alias("ocr"), i.alias("pos"))
     rows = gathered(units, decisions, budget).withColumn("light", F.transform("items", light))
     rows = rows.withColumn("bounds", boundaries(F.col("light"), budget, advised)).withColumn("strategy", name)
-    at = rows.select("doc", "source_type", "items", "strategy", F.posexplode_outer("bounds").alias("chunk_index", "b"))
-
-    own = F.transform(F.when(F.col("b.start") >= 0, F.slice("items", F.col("b.start") + 1, F.col("b.end") - F.col("b.start") + 1)).otherwise(F.slice("items", 1, 0)), lambda x: x["text"])
-    source = F.get(F.col("items"), F.col("b.over"))["text"]
+    # Each chunk takes its own texts along, so the explode copies no document into each of its chunks.
+    items = F.col("items")
+    texts = lambda b: F.transform(F.slice(items, F.greatest(b["start"], F.lit(0)) + 1, F.when(b["start"] >= 0, b["end"] - b["start"] + 1).otherwise(0)), lambda x: x["text"])
+    taken = F.transform("bounds", lambda b: F.struct(
+        b["over"].alias("over"), b["over_words"].alias("over_words"), b["verbatim"].alias("verbatim"), b["ocr"].alias("ocr"), b["orphan"].alias("orphan"),
+        texts(b).alias("own"), F.get(items, b["over"])["text"].alias("source"), F.get(items, b["page"])["page"].alias("page"), F.get(items, b["section"])["section"].alias("section")))
+    at = rows.select("doc", "source_type", "strategy", F.posexplode_outer(taken).alias("chunk_index", "b"))
+
+    own, source = F.col("b.own"), F.col("b.source")
     tail = F.when(F.col("b.verbatim"), source).otherwise(F.array_join(F.slice(text.words(source), F.greatest(text.word_count(source) - F.col("b.over_words"), F.lit(0)) + 1, F.greatest(F.col("b.over_words"), F.lit(0))), " "))
     whole = F.array_join(F.when(F.col("b.over") >= 0, F.concat(F.array(tail), own)).otherwise(own), "\n\n")
     made = at.select(
         "doc", "source_type", "strategy", "chunk_index", F.col("b.orphan").alias("orphan"), F.col("b.ocr").alias("ocr_applied"),
-        F.get(F.col("items"), F.col("b.page"))["page"].alias("page_number"), F.get(F.col("items"), F.col("b.section"))["section"].alias("section"),
+        F.col("b.page").alias("page_number"), F.col("b.section").alias("section"),
         F.when(F.col("b.orphan"), text.without_block_markup(whole)).otherwise(text.without_markup(text.strip(whole))).alias("text"),
     )
     order = Window.partitionBy("doc").orderBy("chunk_index")

@@ -464,17 +464,8 @@ def vector_topk_threshold(spark, sf_dir):
 
 @query(f"""SELECT query_id, rank::INTEGER AS rank, pos, round(s, 4) AS score FROM (
   SELECT q.vec_id AS query_id, e.vec_id AS pos, {_dot('e.embedding', 'q.embedding')} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_dot('e.embedding', 'q.embedding')} DESC, e.vec_id) AS rank
-  FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 5""")
+  FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank <= 5""")
 def vector_topk_batch(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    q = v.where("pos % 50 = 0").select(F.col("pos").alias("query_id"), F.col("embedding").alias("query"))
-    return retrieval.top_k_batch(v, q, 5).select("query_id", "rank", "pos", F.round("score", 4).alias("score"))
-
-
-@query()
-def vector_topk_batch_20(spark, sf_dir):
-    """Batch search for every row whose id is divisible by 20. vector_topk_batch has only the ids its SQL has, those
-    divisible by 50; this one is held against brute force in tests/."""
     v = _vectors(spark, sf_dir)
     q = v.where("pos % 20 = 0").select(F.col("pos").alias("query_id"), F.col("embedding").alias("query"))
     return retrieval.top_k_batch(v, q, 5).select("query_id", "rank", "pos", F.round("score", 4).alias("score"))

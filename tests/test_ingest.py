@@ -241,12 +241,12 @@ def test_page_limits(spark):
 
 
 def test_without_the_optional_part(monkeypatch):
-    import importlib.util
+    import sys
 
     import __spark_entry__ as entry
 
-    found = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name == "quire.llm" else found(name, *a))
+    for name in [n for n in sys.modules if n.startswith("quire.llm.")] + ["quire.llm"]:
+        monkeypatch.setitem(sys.modules, name, None)
     assert set(entry.queries()) == set(catalog.QUERIES) and set(entry.oracle_sql()) == set(catalog.SQL)
 
 
