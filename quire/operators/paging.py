@@ -74,9 +74,9 @@ def paginate_blocks(blocks: DataFrame, page_words: int = 350, source_type: str =
     ordered = F.array_sort(F.collect_list(F.struct("pos", "text", "section")))
     held = blocks.groupBy("doc").agg(ordered.alias("b"))
     paged = held.withColumn("p", page_starts(F.transform("b", lambda x: text.word_count(x["text"])), page_words)).withColumn("total", F.array_max("p"))
-    numbered = paged.select("doc", "total", "b", "p", F.explode(F.sequence(F.lit(1), F.col("total"))).alias("page_number"))
-    mine = F.filter("b", lambda x, i: F.get("p", i) == F.col("page_number"))
-    pages = numbered.select("doc", "total", "page_number", mine.alias("b")).select(
+    # Every block goes along once, with its page; documents are together already, so this groups without a shuffle.
+    each = paged.select("doc", "total", F.explode(F.arrays_zip("b", "p")).alias("x")).select("doc", "total", F.col("x.p").alias("page_number"), F.col("x.b").alias("block"))
+    pages = each.groupBy("doc", "page_number").agg(F.first("total").alias("total"), F.array_sort(F.collect_list("block")).alias("b")).select(
         "doc", "total", "page_number", F.array_join(F.transform("b", lambda x: x["text"]), "\n\n").alias("content"), F.col("b")[0]["section"].alias("section")
     )
     out = pages.select("doc", "page_number", "content", F.lit(source_type).alias("source_type"), "section", lang.language(F.col("content"), classify=classify).alias("language"), _metadata(F.col("total"), F.length("content")).alias("metadata"))

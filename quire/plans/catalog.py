@@ -486,8 +486,10 @@ def retrieve_chunks(spark, sf_dir):
 def _shared(spark, name: str) -> str:
     import uuid
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/quire-checkpoints"
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return f"{(folder or '/tmp/quire-checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @query(rf"WITH {_SUMMARY} SELECT doc AS document_name, total_pages, total_characters FROM counts")
