@@ -43,10 +43,13 @@ def test_media(data):
 @settings(max_examples=200, deadline=None)
 def test_classes_of_windows(texts, length):
     texts = [t for t in texts if len(t) >= length] or ["a" * length]
-    row, place, a, b = suffix_dedup.fingerprints([t.encode() for t in texts], np.array([len(t) - length + 1 for t in texts]), length)
-    windows = [texts[r][p : p + length] for r, p in zip(row, place, strict=True)]
-    classes = list(zip(a.tolist(), b.tolist(), strict=True))
-    assert all((windows[i] == windows[j]) == (classes[i] == classes[j]) for i in range(len(windows)) for j in range(i))
+    data = "".join(texts).encode()
+    ends = np.cumsum([len(t) for t in texts])
+    starts = np.concatenate([np.arange(e - len(t), e - length + 1) for t, e in zip(texts, ends, strict=True)])
+    order, cls = suffix_dedup.suffix_order(np.frombuffer(data, np.uint8), starts, length)
+    windows = [(data[i : i + length], i) for i in starts[order].tolist()]
+    assert windows == sorted(windows)
+    assert all((x[0] == y[0]) == (i == j) for (x, i), (y, j) in zip(zip(windows, cls, strict=True), zip(windows[1:], cls[1:], strict=True), strict=False))
 
 
 @given(st.lists(st.sets(st.integers(0, 30), max_size=20), max_size=12), st.integers(50, 100))
