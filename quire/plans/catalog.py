@@ -1,11 +1,13 @@
 """Registered queries, each beside the SQL that it is held against.
 
-Operators that need text the tables don't have (headings, Indic scripts, OCR output, markup) run over literal rows, which
-both sides read from the same list.
+Operators that need text the tables don't have (headings, Indic scripts, OCR output) run over the whole tables and over
+literal rows besides, which both sides read from the same list.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,16 @@ def values(rows_: list[tuple], columns: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows_)}) AS v({columns})"
 
 
+def texts(spark: SparkSession, sf_dir: str, own: list[tuple]) -> DataFrame:
+    """(id, t): whole texts of documents, and rows with text that the tables don't have."""
+    d = docs(spark, sf_dir).select(F.concat(F.lit("d"), "doc").alias("id"), F.col("text").alias("t"))
+    return d.unionByName(rows(spark, [(f"r{i}", t) for i, t in own], "id string, t string"))
+
+
+def texts_sql(own: list[tuple]) -> str:
+    return f"(SELECT 'd' || doc_id AS id, text AS t FROM documents UNION ALL SELECT 'r' || id, t FROM {values(own, 'id, t')})"
+
+
 # SQL of shared steps. S is white space as str.split() has it.
 _S = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _N = _S.replace("[", "[^", 1)
@@ -70,6 +82,9 @@ def _wc(x: str) -> str:
     return rf"len(regexp_extract_all({x}, '{_N}+'))"
 
 
+_STAMP = rf"(?i)scanned[\t-\r\x1c-\x20\x{{85}}\x{{a0}}]+by[\t-\r\x1c-\x20\x{{85}}\x{{a0}}]+camscanner[^\n]*"
+
+
 _PAGES = rf"""
 raw AS (SELECT doc_id::VARCHAR AS doc, coalesce(text, '') AS t, greatest(((length(coalesce(text, '')) + 2499) // 2500), 1) AS total FROM documents),
 slices AS (SELECT doc, total, i + 1 AS page_number, substr(t, i * 2500 + 1, 2500) AS slice FROM raw, LATERAL (SELECT unnest(range(total)) AS i)),
@@ -123,13 +138,14 @@ def paragraph_units(spark, sf_dir):
     return units.paragraph_units(pages(spark, sf_dir)).select("doc", "unit_idx", "text", "page_number", "word_count")
 
 
-@query(rf"""WITH c AS (SELECT doc_id::VARCHAR AS doc, CASE WHEN doc_id % 7 = 0 THEN 'Scanned by CamScanner' WHEN doc_id % 7 = 1 THEN substr(text, 1, 9) || '0123456789012345678901234567890' ELSE text END AS t FROM documents),
-k AS (SELECT doc, {_strip("regexp_replace(t, '(?i)scanned[ ]+by[ ]+camscanner[^\n]*', '', 'g')")} AS clean FROM c),
-n AS (SELECT doc, clean, len(regexp_extract_all(clean, '\p{{L}}')) AS letters, len(list_filter(regexp_extract_all(clean, '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= 2 AND NOT regexp_matches(w, '_'))) AS w FROM k)
-SELECT doc, coalesce(clean <> '' AND ((letters >= 10 AND letters / length(clean) >= 0.3) OR (w >= 2 AND letters >= 8)), false) AS usable, length(coalesce(clean, ''))::INTEGER AS n_clean FROM n""")
+QUALITY = [(1, "Scanned by CamScanner"), (2, "Scanned  by\tCAMSCANNER 7\nreadable text here"), (3, "abcdefghij" + "1" * 23), (4, "abcdefghij" + "1" * 24), (5, "abcd efgh " + "1 " * 30), (6, " \n\t"), (7, ""), (8, None), (9, "ab_cd ef_gh 0123456789 0123456789")]
+
+
+@query(rf"""WITH k AS (SELECT id, {_strip(f"regexp_replace(coalesce(t, ''), '{_STAMP}', '', 'g')")} AS clean FROM {texts_sql(QUALITY)}),
+n AS (SELECT id, clean, len(regexp_extract_all(clean, '\p{{L}}')) AS letters, len(list_filter(regexp_extract_all(clean, '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= 2 AND NOT regexp_matches(w, '_'))) AS w FROM k)
+SELECT id, coalesce(clean <> '' AND ((letters >= 10 AND letters / length(clean) >= 0.3) OR (w >= 2 AND letters >= 8)), false) AS usable, length(clean)::INTEGER AS n_clean FROM n""")
 def native_quality(spark, sf_dir):
-    t = F.when(F.col("doc").cast("long") % 7 == 0, "Scanned by CamScanner").when(F.col("doc").cast("long") % 7 == 1, F.concat(F.substring("text", 1, 9), F.lit("0123456789012345678901234567890"))).otherwise(F.col("text"))
-    return docs(spark, sf_dir).select("doc", text.native_quality(t).alias("q")).select("doc", "q.usable", F.length("q.clean").alias("n_clean"))
+    return texts(spark, sf_dir, QUALITY).select("id", text.native_quality(F.col("t")).alias("q")).select("id", "q.usable", F.length("q.clean").alias("n_clean"))
 
 
 @query(rf"""WITH s AS (SELECT doc_id::VARCHAR AS doc, list_filter(list_transform(string_split(regexp_replace(text, '([.!?।॥؟۔。！？]){_S}+', '\1' || chr(1), 'g'), chr(1)), lambda x: {_strip('x')}), lambda x: x <> '') AS l FROM documents)
@@ -150,15 +166,15 @@ HEADINGS = [
 ]
 
 
-@query(rf"""SELECT id::INTEGER AS id, CASE WHEN m <> '' THEN {_strip(r"regexp_replace(m, '\A[# \n:]+|[# \n:]+\z', '', 'g')")} ELSE 'page' END AS section
-FROM (SELECT id, regexp_extract(t, '(?:^|\n)(?:#+{_S}*|(?:\p{{Nd}}+(?:\.\p{{Nd}}+)*{_S}+)|(?:UNIT{_S}+[IVXLCDM]+))[\p{{L}}\p{{Nl}}\p{{No}}][^\n:]{{2,60}}(?::|\n|$)', 0) AS m FROM {values(HEADINGS, 'id, t')})""")
+@query(rf"""SELECT id, CASE WHEN m <> '' THEN {_strip(r"regexp_replace(m, '\A[# \n:]+|[# \n:]+\z', '', 'g')")} ELSE 'page' END AS section
+FROM (SELECT id, regexp_extract(t, '(?:^|\n)(?:#+{_S}*|(?:\p{{Nd}}+(?:\.\p{{Nd}}+)*{_S}+)|(?:UNIT{_S}+[IVXLCDM]+))[\p{{L}}\p{{Nl}}\p{{No}}][^\n:]{{2,60}}(?::|\n|$)', 0) AS m FROM {texts_sql(HEADINGS)})""")
 def unit_sections(spark, sf_dir):
-    return rows(spark, HEADINGS, "id int, t string").select("id", text.unit_section(F.col("t"), F.lit("page")).alias("section"))
+    return texts(spark, sf_dir, HEADINGS).select("id", text.unit_section(F.col("t"), F.lit("page")).alias("section"))
 
 
-@query(rf"SELECT id::INTEGER AS id, regexp_matches(substr(t, 1, 40), '(?i)^(?:UNIT{_S}+[IVXLCDM]+|CHAPTER{_S}+\p{{Nd}}+|SECTION{_S}+\p{{Nd}}+)') AS major FROM {values(HEADINGS, 'id, t')}")
+@query(rf"SELECT id, regexp_matches(substr(t, 1, 40), '(?i)^(?:UNIT{_S}+[IVXLCDM]+|CHAPTER{_S}+\p{{Nd}}+|SECTION{_S}+\p{{Nd}}+)') AS major FROM {texts_sql(HEADINGS)}")
 def major_headings(spark, sf_dir):
-    return rows(spark, HEADINGS, "id int, t string").select("id", text.is_major_heading(F.col("t")).alias("major"))
+    return texts(spark, sf_dir, HEADINGS).select("id", text.is_major_heading(F.col("t")).alias("major"))
 
 
 # The fold, unit by unit. Units of the tables are below max_words and have no headings, so a chunk is a run of units
@@ -266,11 +282,22 @@ BLOCKS = [
 ]
 
 
-@query(rf"""WITH b AS (SELECT doc, pos, type, {_strip('t')} AS text, s FROM {values(BLOCKS, 'doc, pos, type, t, s')}),
-h AS (SELECT *, type <> 'table' AND (s OR (regexp_matches(text, '(?i)^(?:\p{{Nd}}+(?:\.\p{{Nd}}+)*{_S}+[\p{{L}}\p{{Nl}}\p{{No}}].{{1,50}}|UNIT{_S}+[IVXLCDM]+.*|CHAPTER{_S}+\p{{Nd}}+.*|SECTION{_S}+\p{{Nd}}+.*)$') AND {_wc('text')} <= 12)) AS head FROM b WHERE text <> '')
+_DOT = r"[^\n\r\x{85}\x{2028}\x{2029}]"
+
+
+@query(rf"""WITH v AS (
+  SELECT * FROM {values(BLOCKS, 'doc, pos, type, t, s')} UNION ALL
+  SELECT 'c' || conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text), 'paragraph', text, role = 'system' FROM conversations),
+b AS (SELECT doc, pos, type, {_strip('t')} AS text, coalesce(s, false) AS s FROM v),
+h AS (SELECT *, type <> 'table' AND (s OR (regexp_matches(text, '(?i)^(?:\p{{Nd}}+(?:\.\p{{Nd}}+)*{_S}+[\p{{L}}\p{{Nl}}\p{{No}}]{_DOT}{{1,50}}|UNIT{_S}+[IVXLCDM]+{_DOT}*|CHAPTER{_S}+\p{{Nd}}+{_DOT}*|SECTION{_S}+\p{{Nd}}+{_DOT}*)$') AND {_wc('text')} <= 12)) AS head FROM b WHERE text <> '')
 SELECT doc, pos::INTEGER AS pos, CASE WHEN head THEN 'heading' ELSE type END AS type, text, coalesce(last_value(CASE WHEN head THEN text END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING), 'General') AS section FROM h""")
 def docx_sections(spark, sf_dir):
-    return paging.sectioned_blocks(rows(spark, BLOCKS, "doc string, pos int, type string, text string, heading_style boolean"))
+    """Turns of conversations as blocks, those of the system with a heading's style, and literal blocks."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    c = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("doc"), F.row_number().over(w).alias("pos"), F.lit("paragraph").alias("type"), "text", (F.col("role") == "system").alias("heading_style"))
+    return paging.sectioned_blocks(rows(spark, BLOCKS, "doc string, pos int, type string, text string, heading_style boolean").unionByName(c))
 
 
 SCRIPTS = [
@@ -283,9 +310,9 @@ def _script(x: str, least: int) -> str:
     return "coalesce(" + ", ".join(f"CASE WHEN len(regexp_extract_all({x}, '{p}')) >= {least} THEN '{k}' END" for k, p in lang.SCRIPTS.items()) + ")"
 
 
-@query(f"SELECT id::INTEGER AS id, {_script('t', 10)} AS ten, {_script('t', 12)} AS twelve FROM {values(SCRIPTS, 'id, t')}")
+@query(f"SELECT id, {_script('t', 10)} AS ten, {_script('t', 12)} AS twelve FROM {texts_sql(SCRIPTS)}")
 def detect_script(spark, sf_dir):
-    return rows(spark, SCRIPTS, "id int, t string").select("id", lang.script(F.col("t"), 10).alias("ten"), lang.script(F.col("t")).alias("twelve"))
+    return texts(spark, sf_dir, SCRIPTS).select("id", lang.script(F.col("t"), 10).alias("ten"), lang.script(F.col("t")).alias("twelve"))
 
 
 _NOT_PROSE = lang.NOT_PROSE.replace("'", "''")
@@ -364,33 +391,96 @@ def chunk_language(spark, sf_dir):
 OCR_LINES = [(1, "A1 + B2"), (2, "x = y"), (3, "The sum = 5"), (4, "a"), (5, "12 34"), (6, " ok "), (7, "q0 * q1 / q2"), (8, "नमस्ते"), (9, "x+y=z abcdef"), (10, "[a]=[b]"), (11, "")]
 
 
-@query(rf"""WITH l AS (SELECT id, {_strip('t')} AS x FROM {values(OCR_LINES, 'id, t')}),
-n AS (SELECT id, x, len(regexp_extract_all(x, '\p{{L}}')) AS letters, len(list_filter(regexp_extract_all(x, '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= 3 AND regexp_matches(w, '^[\p{{L}}\p{{Nl}}\p{{No}}]+$'))) AS w FROM l)
-SELECT id::INTEGER AS id, length(x) >= 2 AND letters >= 2 AND NOT (regexp_matches(x, '[+*=/]') AND w = 0 AND letters < 6) AS readable FROM n""")
+def _readable(x: str) -> str:
+    return rf"(length({x}) >= 2 AND len(regexp_extract_all({x}, '\p{{L}}')) >= 2 AND NOT (regexp_matches({x}, '[+*=/]') AND NOT regexp_matches({x}, '(?:^|[^\p{{L}}\p{{N}}_])[\p{{L}}\p{{Nl}}\p{{No}}]{{3,}}(?:[^\p{{L}}\p{{N}}_]|$)') AND len(regexp_extract_all({x}, '\p{{L}}')) < 6))"
+
+
+@query(rf"""WITH l AS (SELECT id, string_split(t, chr(10)) AS l FROM {texts_sql(OCR_LINES)}),
+x AS (SELECT id, i AS place, {_strip('l[i + 1]')} AS x FROM l, LATERAL (SELECT unnest(range(len(l))) AS i))
+SELECT id, place::INTEGER AS place, {_readable('x')} AS readable FROM x""")
 def ocr_lines(spark, sf_dir):
-    return rows(spark, OCR_LINES, "id int, t string").select("id", ocr.is_readable_line(F.col("t")).alias("readable"))
+    each = texts(spark, sf_dir, OCR_LINES).select("id", F.posexplode(F.split("t", "\n")).alias("place", "line"))
+    return each.select("id", "place", ocr.is_readable_line(F.col("line")).alias("readable"))
 
 
 OCR_TEXTS = [
     (1, "The srate of the machirey\nx = y\n b hnite states d and more\nScanned by CamScanner 12\nSRM pahm"), (2, "State"), (3, "R12+Q1S*P2 the transition\tgoes  on"), (4, ""), (5, None),
-    (6, "Line one\r\nline\x0btwo line three"), (7, "ab&his is it, &his not"), (8, "अ हिंदी b पाठ"),
+    (6, "Line one\r\nline\x0btwo line three"), (7, "ab&his is it, &his not"), (8, "अ हिंदी b पाठ"), (9, "A1+ B2 state states b c d R1+abé left Q9*x+- right lstale vodey"), (10, "L-acample alpha  beh, alpha-beh äSRM SRM"),
 ]
-# What the rules give for these texts, written down by hand.
-OCR_CLEAN = [(1, "The states of the machines\nfinite states and more\npath"), (2, "states"), (3, "the transition goes on"), (4, ""), (5, ""), (6, "Line one\nline two\nline three"), (7, "abThis is it, &his not"), (8, "अ हिंदी पाठ")]
+
+# SQL has no way to look behind or ahead, so words are set between two marks, which patterns then name.
+_WORDS = r"[\p{L}\p{N}_]+"
+
+
+def _marked(x: str, run: str = _WORDS) -> str:
+    return f"regexp_replace({x}, '({run})', chr(2) || '\\1' || chr(3), 'g')"
+
+
+def _unmarked(x: str) -> str:
+    return f"translate({x}, chr(2) || chr(3), '')"
+
+
+def _between_marks(pattern: str) -> str:
+    each = [alt.removeprefix(r"\b").removesuffix(r"\b").replace(r"\s+", rf"\x03{_S}+\x02").replace("]-[", r"]\x03-\x02[") for alt in pattern.split("|")]
+    return "|".join((r"\x03&\x02" + e[1:] if e.startswith("&") else r"\x02" + e) + r"\x03" for e in each)
+
+
+_FORMULA = r"\x02[A-Z]\p{Nd}+\x03[+*](?:(?:[+*]|\x02[A-Za-z0-9]+\x03)*(\x02[A-Za-z0-9]*[^A-Za-z0-9\x03])|(?:[+*]|\x02[A-Za-z0-9]+\x03)*\x02[A-Za-z0-9]+\x03)"
+
+
+def _corrected(x: str) -> str:
+    x = _unmarked(f"regexp_replace({_marked(x)}, '{_FORMULA}', ' \\1', 'g')")
+    for pattern, new in ocr.CORRECTIONS:
+        x = _unmarked(f"regexp_replace({_marked(x)}, '{_between_marks(pattern)}', '{new}', 'g')")
+    return x
+
+
+def _collapsed(x: str) -> str:
+    return _strip(f"regexp_replace({x}, '[ \\t]+', ' ', 'g')")
 
 
-@query(f"SELECT id::INTEGER AS id, t AS clean FROM {values(OCR_CLEAN, 'id, t')}")
+@query(rf"""WITH c AS (SELECT id, t, translate(regexp_replace(t, '{_STAMP}', '', 'g'), chr(2) || chr(3), chr(1) || chr(1)) AS x FROM {texts_sql(OCR_TEXTS)}),
+k AS (SELECT id, t, regexp_replace({_corrected('x')}, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', ' ', 'g') AS x FROM c),
+l AS (SELECT id, t, list_filter(list_transform(string_split_regex(x, '\r\n|[\n\r\x{{85}}\x{{2028}}\x{{2029}}]'), lambda y: {_collapsed('y')}), lambda y: {_readable('y')}) AS l FROM k),
+a AS (SELECT id, t, list_filter(list_transform(l, lambda y: {_collapsed(_unmarked("regexp_replace(" + _marked('y', _N + '+') + r", '\x02[b-hj-zB-HJ-Z]\x03', ' ', 'g')"))}), lambda y: length(y) >= 2) AS l FROM l)
+SELECT id, CASE WHEN regexp_matches(coalesce(t, ''), '{_N}') THEN {_strip("array_to_string(l, chr(10))")} ELSE '' END AS clean FROM a""")
 def ocr_sanitize(spark, sf_dir):
-    return rows(spark, OCR_TEXTS, "id int, t string").select("id", ocr.sanitize(F.col("t")).alias("clean"))
+    return texts(spark, sf_dir, OCR_TEXTS).select("id", ocr.sanitize(F.col("t")).alias("clean"))
 
 
-REFLOW = [(1, "This line\ngoes on here.\nNew one\n- bullet\nafter it"), (2, "He said \"yes.\"\nThen\n\n  Para two\nends;\nx"), (3, "1.2 Heading\nbody\nNOTE: x"), (4, " \n "), (5, None)]
-REFLOWED = [(1, "This line goes on here.\nNew one\n- bullet after it"), (2, "He said \"yes.\"\nThen\n\nPara two ends;\nx"), (3, "1.2 Heading body\nNOTE: x"), (4, ""), (5, "")]
+REFLOW = [(1, "This line\ngoes on here.\nNew one\n- bullet\nafter it"), (2, "He said \"yes.\"\nThen\n\n  Para two\nends;\nx"), (3, "1.2 Heading\nbody\nNOTE: x"), (4, " \n "), (5, None), (6, "<div>a</div>\r\nb\rc (d.) \n# e\nScanned by CamScanner 3\nf")]
+_ENDS = "[{0}]$|[{0}]{1}*{2}$".format(ocr.LINE_ENDS, _S, ocr.CLOSING.replace("'", "''"))
 
 
-@query(f"SELECT id::INTEGER AS id, t AS flowed FROM {values(REFLOWED, 'id, t')}")
+@query(rf"""WITH c AS (SELECT row_number() OVER () AS r, id, regexp_replace(regexp_replace(regexp_replace(t, '{_STAMP}', '', 'g'), '{text.BLOCK_MARKUP}', '', 'g'), '\r\n?', chr(10), 'g') AS t FROM {texts_sql(REFLOW)}),
+b AS (SELECT r, string_split_regex(t, '\n{_S}*\n+') AS b FROM c),
+p AS (SELECT r, i AS block, string_split(b[i], chr(10)) AS l FROM b, LATERAL (SELECT unnest(range(1, len(b) + 1)) AS i)),
+l AS (SELECT r, block, j AS line, {_strip('l[j]')} AS x FROM p, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS j)),
+g AS (SELECT *, lag(x) OVER (PARTITION BY r, block ORDER BY line) AS before FROM l WHERE x <> ''),
+f AS (SELECT r, block, string_agg(CASE WHEN before IS NULL THEN x WHEN regexp_matches(before, '{_ENDS}') OR regexp_matches(x, '{ocr.OWN_LINE}') THEN chr(10) || x ELSE ' ' || x END, '' ORDER BY line) AS x FROM g GROUP BY r, block),
+d AS (SELECT r, string_agg(x, chr(10) || chr(10) ORDER BY block) AS x FROM f GROUP BY r)
+SELECT id, coalesce(x, '') AS flowed FROM c LEFT JOIN d USING (r)""")
 def ocr_reflow(spark, sf_dir):
-    return rows(spark, REFLOW, "id int, t string").select("id", ocr.reflow(F.col("t")).alias("flowed"))
+    return texts(spark, sf_dir, REFLOW).select("id", ocr.reflow(F.col("t")).alias("flowed"))
+
+
+LABELS = [(1, None), (2, " \n"), (3, "x" * 301), (4, "a\nb"), (5, "text\n1.2 Methods: more"), (6, "12 Short title\nbody"), (7, "x" * 100), (8, "y" * 101)]
+
+
+@query(rf"""WITH c AS (SELECT id, t, {_strip(rf"regexp_replace(coalesce(t, ''), '{_S}+', ' ', 'g')")} AS flat, regexp_replace({_strip('t')}, '\n', ' ', 'g') AS flowed,
+  nullif(regexp_extract(t, '(?:^|\n)(\p{{Nd}}+(?:\.\p{{Nd}}+)*{_S}+[\p{{L}}\p{{Nl}}\p{{No}}][^\n:]{{2,50}})(?::|\n|$)', 1), '') AS s FROM {texts_sql(LABELS)})
+SELECT id, CASE WHEN flat = '' THEN '<no readable text>' WHEN length(flat) > 100 THEN substr(flat, 1, 97) || '...' ELSE flat END AS preview,
+  CASE WHEN length(flowed) > 300 THEN substr(flowed, 1, 300) || '...' ELSE flowed END AS snippet,
+  CASE WHEN flat = '' THEN ' ' ELSE {_strip('t')} END AS embedding_text, {_strip('s')} AS section, format('{{:,}}', length(t)) AS shown_size,
+  array_to_string(list_transform(string_split(t, chr(10)), lambda x: array_to_string(list_transform(string_split(x, '.'), lambda y: {_strip('y')}), ' | ')), chr(10)) AS cells
+FROM c""")
+def text_labels(spark, sf_dir):
+    """Previews, snippets, texts to embed, sections of PDF pages, shown sizes, and lines as rows of cells."""
+    t = F.col("t")
+    return texts(spark, sf_dir, LABELS).select(
+        "id", text.preview(t).alias("preview"), text.snippet(t).alias("snippet"), text.embedding_text(t).alias("embedding_text"), text.pdf_section(t).alias("section"),
+        text.thousands(F.length(t)).alias("shown_size"), text.table_text(F.transform(F.split(t, "\n"), lambda x: F.split(x, r"\."))).alias("cells"),
+    )
 
 
 @query("""SELECT page_id, string_agg(x, '|') AS kept FROM (SELECT page_id, unnest(['a' || page_id, ' ', 'c']) AS x, unnest([page_id % 10 / 10.0, 0.9, 0.55]) AS s FROM pages) WHERE s >= 0.55 AND trim(x) <> '' GROUP BY page_id""")

@@ -89,3 +89,15 @@ def test_labels(spark):
     assert one(spark, [("xx", 100.0)], lang.shown_label, kind) == "XX (xx)"
     assert one(spark, 1234567, text.thousands, "int") == "1,234,567"
     assert one(spark, "llama3.2_semantic", text.strategy_label) == "Semantic (advised)" and one(spark, "deterministic_fallback", text.strategy_label) == "Deterministic (fallback)"
+
+
+def test_ocr_texts(spark):
+    """What the rules give for the literal rows of the catalog, written down by hand."""
+    from quire.plans import catalog
+
+    clean = {1: "The states of the machines\nfinite states and more\npath", 2: "states", 3: "the transition goes on", 4: "", 5: "", 6: "Line one\nline two\nline three", 7: "abThis is it, &his not", 8: "अ हिंदी पाठ"}
+    flowed = {1: "This line goes on here.\nNew one\n- bullet after it", 2: "He said \"yes.\"\nThen\n\nPara two ends;\nx", 3: "1.2 Heading body\nNOTE: x", 4: "", 5: ""}
+    made = {r.id: r.x for r in catalog.rows(spark, catalog.OCR_TEXTS, "id int, t string").select("id", ocr.sanitize(F.col("t")).alias("x")).collect()}
+    assert {i: made[i] for i in clean} == clean
+    made = {r.id: r.x for r in catalog.rows(spark, catalog.REFLOW, "id int, t string").select("id", ocr.reflow(F.col("t")).alias("x")).collect()}
+    assert {i: made[i] for i in flowed} == flowed
