@@ -405,7 +405,7 @@ def ocr_lines(spark, sf_dir):
 
 OCR_TEXTS = [
     (1, "The srate of the machirey\nx = y\n b hnite states d and more\nScanned by CamScanner 12\nSRM pahm"), (2, "State"), (3, "R12+Q1S*P2 the transition\tgoes  on"), (4, ""), (5, None),
-    (6, "Line one\r\nline\x0btwo line three"), (7, "ab&his is it, &his not"), (8, "अ हिंदी b पाठ"), (9, "A1+ B2 state states b c d R1+abé left Q9*x+- right lstale vodey"), (10, "L-acample alpha  beh, alpha-beh äSRM SRM"),
+    (6, "Line one\r\nline\x0btwo\u2028line three"), (7, "ab&his is it, &his not"), (8, "अ हिंदी b पाठ"), (9, "A1+ B2 state states b c d R1+abé left Q9*x+- right lstale vodey"), (10, "L-acample alpha  beh, alpha-beh äSRM SRM"),
 ]
 
 # SQL has no way to look behind or ahead, so words are set between two marks, which patterns then name.
