@@ -38,16 +38,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """df written as Parquet into a new place in the shared folder, and read again; and that place."""
+#: Rows of a few numbers that are worth a file of their own.
+FILE_ROWS = 1 << 18
+
+
+def stored(df: DataFrame, rows: int | None = None) -> tuple[DataFrame, str]:
+    """df written as Parquet into a new place in the shared folder, and read again; and that place.
+
+    rows: where it is known that there are no more than so many narrow rows, they are written by as few tasks as they
+    need, instead of one small file for each of the exchange's partitions. Not for stages that have real work to do.
+    """
     place = f"{shared_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(place)
+    few = df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
+    few.write.parquet(place)
     return df.sparkSession.read.schema(df.schema).parquet(place), place
 
 
-def kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame, rows: int | None = None) -> DataFrame:
     """stored() without the place: for chains of many steps, as plans read from files don't grow from step to step."""
-    return stored(df)[0]
+    return stored(df, rows)[0]
 
 
 def removed(spark: SparkSession, place: str) -> None:

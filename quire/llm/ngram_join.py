@@ -471,9 +471,10 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def links_in_groups(sets: DataFrame, groups: DataFrame, prefixes: DataFrame, percent: int, group_size: int, group_bytes: int) -> DataFrame:
+def links_in_groups(sets: DataFrame, groups: DataFrame, prefixes: DataFrame, percent: int, group_size: int, group_bytes: int, count: int | None = None) -> DataFrame:
     """Edges (u, v) that connect what links connect, for sets (set, hashes), their groups (set, group, n, members, total),
-    where total is the sum of n in the group, and the prefixes (h, set) that the groups come from.
+    where total is the sum of n in the group, and the prefixes (h, set) that the groups come from. count: how many sets
+    there are, or more.
 
     A group of more than group_size sets or group_bytes bytes is dealt into blocks that are joined on their own; then the
     first sets of what has been connected are joined across blocks, which connects near copies. Where a group then still
@@ -497,10 +498,10 @@ def links_in_groups(sets: DataFrame, groups: DataFrame, prefixes: DataFrame, per
         return edges
 
     def labelled(edges: DataFrame) -> DataFrame:
-        return kept(large.join(connected(edges).withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set")))
+        return kept(large.join(connected(edges, count and 2 * count).withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set")), count)
 
     firsts = labelled(edges).where("set = label").select("set", "group", "n")
-    several = kept(firsts.groupBy("group").agg(F.count("*").alias("times"), F.sum("n").alias("sum")).where("times > 1").withColumn("firsts", F.col("times")))
+    several = kept(firsts.groupBy("group").agg(F.count("*").alias("times"), F.sum("n").alias("sum")).where("times > 1").withColumn("firsts", F.col("times")), count)
     across = spread_join(firsts, several, ["group"], "times", F.hash("set"))
     edges = kept(edges.unionByName(joined(across.withColumn("block", F.pmod(F.hash("set", F.lit(7)), blocks("firsts", "sum")).cast("string")))))
     still = labelled(edges).select("set", "label", "n")
@@ -530,13 +531,15 @@ def _classes(docs: DataFrame, percent: int, width: int, id_col: str, text_col: s
     chosen = _survivors(documents, _elsewhere(asked.where("bucket >= 0")), percent)
     sets = kept(_sets(own, chosen, width))
     prefixes = kept(_prefixes(sets, _frequencies(sets, buckets), buckets, percent))
-    least = kept(prefixes.groupBy("h").agg(F.min("set").alias("v"), F.count("*").alias("times")).where("times > 1"))
+    listed = prefixes.count()
+    least = kept(prefixes.groupBy("h").agg(F.min("set").alias("v"), F.count("*").alias("times")).where("times > 1"), listed // 2)
     candidates = spread_join(prefixes, least, ["h"], "times", F.hash("set")).select(F.col("set").alias("u"), "v").where("u <> v").distinct()
     names = kept(_names(sets))
-    groups = kept(connected(candidates).select(F.col("node").alias("set"), F.col("label").alias("group")).join(names.select("set", "n"), "set"))
-    sizes = kept(groups.groupBy("group").agg(F.count("*").alias("times"), F.sum("n").alias("total")).withColumn("members", F.col("times")))
-    sized = kept(spread_join(groups, sizes, ["group"], "times", F.hash("set")))
-    edges = links_in_groups(_rows_of(sets), sized, prefixes, percent, group_size, group_bytes)
+    count = names.count()
+    groups = kept(connected(candidates, listed).select(F.col("node").alias("set"), F.col("label").alias("group")).join(names.select("set", "n"), "set"), count)
+    sizes = kept(groups.groupBy("group").agg(F.count("*").alias("times"), F.sum("n").alias("total")).withColumn("members", F.col("times")), count)
+    sized = kept(spread_join(groups, sizes, ["group"], "times", F.hash("set")), count)
+    edges = links_in_groups(_rows_of(sets), sized, prefixes, percent, group_size, group_bytes, count)
     labels = connected(edges).withColumnRenamed("node", "set").join(names, "set").select("class", F.col("label").cast("string"))
     flat = documents.select(F.explode(F.arrays_zip("id", "th", "class", "n")).alias("d")).select("d.id", "d.th", "d.class", F.col("d.n").cast("long").alias("n"))
     first = F.struct(F.col("id").isNull().alias("x"), "id", "th")
