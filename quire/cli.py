@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quire.config import Settings
 from quire.operators import advice
 from quire.plans import ingest
-from quire.sources import sinks
+from quire.sources import engines, sinks
 
 
 def _session() -> SparkSession:
@@ -45,7 +45,7 @@ def main(args: list[str] | None = None) -> int:
         if a.semantic is not None:
             settings = replace(settings, semantic_chunking_enabled=a.semantic)
         advisor = advice.ChatAdvisor(settings.advisor_url, settings.advisor_name, settings.advisor_timeout) if settings.semantic_chunking_enabled else None
-        done = ingest.ingest(spark, a.document, settings, advisor)
+        done = ingest.ingest(spark, a.document, settings, advisor, engines.pdf_parser(), engines.best if a.ocr else None)
         made = done.payloads.cache()
         target = a.output or f"{settings.processed_dir}/{pathlib.Path(a.document).stem}_chunks.json"
         sinks.export_payload(made, target)

@@ -1,4 +1,4 @@
-"""OCR engines that a machine may have. They are looked for where they run, on the executors."""
+"""OCR engines and PDF parsers that a machine may have. Engines are looked for where they run, on the executors."""
 
 from __future__ import annotations
 
@@ -52,3 +52,26 @@ def best(image: bytes) -> str:
 def name() -> str:
     """The engine that this machine would use."""
     return "tesseract" if shutil.which("tesseract") else "rapidocr" if importlib.util.find_spec("rapidocr_onnxruntime") else "none"
+
+
+def pypdf_pages(content: bytes) -> list[tuple[int, str, bool, bytes | None]]:
+    """Pages of a PDF file by pypdf: number, text, whether there are pictures, and the largest one. A file that can't be
+    read has none."""
+    from io import BytesIO
+
+    from pypdf import PdfReader
+    from pypdf.errors import PyPdfError
+
+    try:
+        out = []
+        for number, page in enumerate(PdfReader(BytesIO(content)).pages, 1):
+            images = [bytes(x.data) for x in page.images]
+            out.append((number, page.extract_text() or "", bool(images), max(images, key=len, default=None)))
+        return out
+    except PyPdfError:
+        return []
+
+
+def pdf_parser() -> Callable[[bytes], list[tuple[int, str, bool, bytes | None]]] | None:
+    """The parser of the library that is installed, if there is one. Executors need the same library."""
+    return pypdf_pages if importlib.util.find_spec("pypdf") else None

@@ -254,3 +254,23 @@ def test_catalog():
     import __spark_entry__ as entry
 
     assert set(catalog.SQL) <= set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_command_line_passes_engines(monkeypatch, tmp_path):
+    """OCR is on unless it is switched off, and an installed PDF parser is used."""
+    from quire import cli
+    from quire.sources import engines
+
+    seen = []
+
+    def ingest(spark, path, settings, advisor, parse, engine):
+        seen.append((parse, engine))
+        raise ValueError("far enough")
+
+    monkeypatch.setattr(cli, "_session", lambda: None)
+    monkeypatch.setattr(cli.Settings, "from_session", classmethod(lambda cls, spark: cls()))
+    monkeypatch.setattr(cli.ingest, "ingest", ingest)
+    parser = lambda content: [(1, "text", False, None)]
+    monkeypatch.setattr(engines, "pdf_parser", lambda: parser)
+    assert cli.main(["ingest", "a.pdf", "--no-semantic"]) == 1 and cli.main(["ingest", "a.pdf", "--no-semantic", "--no-ocr"]) == 1
+    assert seen == [(parser, engines.best), (parser, None)]
