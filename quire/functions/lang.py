@@ -34,6 +34,9 @@ SCRIPTS = {
 }
 #: What is no prose: digits, brackets, signs and some Greek letters of formulas.
 NOT_PROSE = r"[\p{Nd}()\[\]{}=+\-*/<>→⇒δεΦΣ_:;,.?!@#$%^&|\\]+"
+#: The same, with a quick way out for letters and blanks; and a character of any of the scripts.
+_NOT_PROSE = f"[[^a-zA-Z ]&&{NOT_PROSE[:-1]}]+"
+_ANY_SCRIPT = f"[[^\\x00-\\x7F]&&[{''.join(SCRIPTS.values())}]]"
 
 #: Function words that the classifier counts. Words that two of the languages share say nothing and aren't here.
 FUNCTION_WORDS = {
@@ -50,13 +53,13 @@ def language_name(c: Column) -> Column:
 
 
 def script(c: Column, least: int = 12) -> Column:
-    """The first script, in order, with enough characters, or null."""
-    return F.coalesce(*[F.when(F.regexp_count(c, F.lit(p)) >= least, lang) for lang, p in SCRIPTS.items()])
+    """The first script, in order, with enough characters, or null. Texts without a character of any aren't counted."""
+    return F.when((F.lit(least) <= 0) | c.rlike(_ANY_SCRIPT), F.coalesce(*[F.when(F.regexp_count(c, F.lit(p)) >= least, lang) for lang, p in SCRIPTS.items()]))
 
 
 def prose(c: Column) -> Column:
     """Words of two characters or more, without formulas."""
-    return F.array_join(F.filter(words(F.regexp_replace(c, NOT_PROSE, " ")), lambda w: F.length(w) >= 2), " ")
+    return F.array_join(F.filter(words(F.regexp_replace(c, _NOT_PROSE, " ")), lambda w: F.length(w) >= 2), " ")
 
 
 def by_function_words(c: Column) -> Column:
@@ -64,14 +67,15 @@ def by_function_words(c: Column) -> Column:
     if there are none."""
 
     def scored(low: Column) -> Column:
-        counts = [F.regexp_count(low, F.lit(rf"(?<![^ ])(?:{'|'.join(w)})(?![^ ])")) for w in FUNCTION_WORDS.values()]
+        # With a blank before the text every word has one, which finds places faster than looking back from each.
+        counts = [F.regexp_count(low, F.lit(rf" (?:{'|'.join(w)})(?![^ ])")) for w in FUNCTION_WORDS.values()]
         return F.array(*[F.struct(n.alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, (lang, n) in enumerate(zip(FUNCTION_WORDS, counts, strict=True))])
 
     def best(each: Column) -> Column:
         total = F.aggregate(each, F.lit(0), lambda acc, x: acc + x["n"])
         return let(F.array_max(each), lambda m: F.when(m["n"] > 0, F.struct(m["lang"].alias("lang"), (m["n"] / total).alias("prob"))))
 
-    return let(let(F.lower(c), scored), best)
+    return let(let(F.concat(F.lit(" "), F.lower(c)), scored), best)
 
 
 def block_language(c: Column, default: str | Column = "en", least_chars: int = 50, confidence: float = 0.85, classify: Classifier = by_function_words) -> Column:

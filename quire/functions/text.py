@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 #: White space as Python's str.split() has it, inside a class.
 WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-SPACE = f"[{WS}]"
+#: A class of many ranges is tried range by range, so the printable ASCII characters, most of any text, are told first.
+SPACE, NON_SPACE = f"[[^!-~]&&[{WS}]]", f"[!-~[^{WS}]]"
+#: The same characters as a list.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A word character, and a letter of headings.
 WORD = r"[\p{L}\p{N}_]"
 LETTER = r"[\p{L}\p{Nl}\p{No}]"
@@ -39,7 +42,7 @@ def let(c: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def strip_chars(c: Column, inside: str) -> Column:
@@ -48,7 +51,7 @@ def strip_chars(c: Column, inside: str) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return F.coalesce(~c.rlike(f"[^{WS}]"), F.lit(True))
+    return F.coalesce(~c.rlike(NON_SPACE), F.lit(True))
 
 
 def words(c: Column) -> Column:
@@ -56,7 +59,7 @@ def words(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(f"[^{WS}]+"))
+    return F.regexp_count(c, F.lit(f"{NON_SPACE}+"))
 
 
 def without_stamp(c: Column) -> Column:
@@ -86,10 +89,13 @@ def sentences(c: Column) -> Column:
 
 def word_windows(c: Column, size: int | Column) -> Column:
     """Consecutive runs of size words, joined by blanks. A text without words has none."""
-    w = words(c)
     size = F.lit(size) if isinstance(size, int) else size
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(w) / size).cast("int") - 1, F.lit(0))), lambda i: i * size < F.size(w))
-    return F.transform(starts, lambda i: F.array_join(F.slice(w, i * size + 1, size), " "))
+
+    def runs(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(w) / size).cast("int") - 1, F.lit(0))), lambda i: i * size < F.size(w))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i * size + 1, size), " "))
+
+    return let(words(c), runs)
 
 
 def is_major_heading(c: Column) -> Column:

@@ -124,7 +124,7 @@ def gathered(units: DataFrame, decisions: DataFrame | None, budget: Budget) -> D
     one = F.struct("unit_idx", "parts", F.col("word_count").alias("unit_words"), "oversize", "major", "brk", F.col("ocr_applied").alias("ocr"), "page_number", "section", "source_type")
     per = rows.groupBy("doc").agg(F.array_sort(F.collect_list(one)).alias("u"))
     flat = F.flatten(F.transform("u", lambda u: F.transform(u["parts"], lambda t, i: F.struct(
-        t.alias("text"), text.word_count(t).alias("words"), u["unit_words"].alias("unit_words"), (i == 0).alias("first"), u["oversize"].alias("oversize"),
+        t.alias("text"), F.when(u["oversize"], text.word_count(t)).otherwise(u["unit_words"]).alias("words"), u["unit_words"].alias("unit_words"), (i == 0).alias("first"), u["oversize"].alias("oversize"),
         u["major"].alias("major"), u["brk"].alias("brk"), u["ocr"].alias("ocr"), u["page_number"].alias("page"), u["section"].alias("section")))))
     return per.select("doc", F.col("u")[0]["source_type"].alias("source_type"), flat.alias("items"))
 
@@ -151,7 +151,7 @@ def assemble(units: DataFrame, budget: Budget = Budget(), decisions: DataFrame |
     at = rows.select("doc", "source_type", "strategy", F.posexplode_outer(taken).alias("chunk_index", "b"))
 
     own, source = F.col("b.own"), F.col("b.source")
-    tail = F.when(F.col("b.verbatim"), source).otherwise(F.array_join(F.slice(text.words(source), F.greatest(text.word_count(source) - F.col("b.over_words"), F.lit(0)) + 1, F.greatest(F.col("b.over_words"), F.lit(0))), " "))
+    tail = F.when(F.col("b.verbatim"), source).otherwise(text.let(text.words(source), lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - F.col("b.over_words"), F.lit(0)) + 1, F.greatest(F.col("b.over_words"), F.lit(0))), " ")))
     whole = F.array_join(F.when(F.col("b.over") >= 0, F.concat(F.array(tail), own)).otherwise(own), "\n\n")
     made = at.select(
         "doc", "source_type", "strategy", "chunk_index", F.col("b.orphan").alias("orphan"), F.col("b.ocr").alias("ocr_applied"),
