@@ -14,6 +14,10 @@ def evidence(pages: DataFrame, classify: lang.Classifier = lang.by_function_word
     block = F.posexplode(F.split(F.coalesce(F.col(content_col), F.lit("")), rf"\n{text.SPACE}*\n"))
     rows = pages.select(F.col(doc_col).alias("doc"), F.col(order_col).alias("page"), block.alias("para", "p")).withColumn("p", text.strip(F.col("p"))).where(F.length("p") >= 20)
     rows = rows.withColumns({"script": lang.script(F.col("p"), 10), "prose": lang.prose(F.col("p"))})
+    if classify is lang.by_function_words:  # an expression, so one pass over the pages does
+        best = F.when(F.col("script").isNull() & (F.length("prose") >= 50), classify(F.col("prose")))
+        told = rows.withColumn("best", best).where("script is not null or best.prob >= 0.85")
+        return told.select("doc", "page", "para", F.coalesce("script", "best.lang").alias("lang"), F.when(F.col("script").isNotNull(), F.length("p")).otherwise(F.length("prose")).alias("weight"))
     # The classifier sees rows without a script and with enough prose only.
     by_script = rows.where("script is not null").select("doc", "page", "para", F.col("script").alias("lang"), F.length("p").alias("weight"))
     guessed = rows.where("script is null").where(F.length("prose") >= 50).withColumn("best", classify(F.col("prose")))
