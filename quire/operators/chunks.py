@@ -29,6 +29,8 @@ class Budget:
     compat: bool = True
     #: Words that a major heading needs before it to start a chunk, in deterministic assembly.
     heading_words: int = 200
+    #: Whether units of more than max_words words are cut into sentences or runs of words.
+    split_long: bool = True
 
     @property
     def orphan_words(self) -> int:
@@ -115,7 +117,7 @@ def boundaries(items: Column, budget: Budget, advised: bool) -> Column:
 
 def gathered(units: DataFrame, decisions: DataFrame | None, budget: Budget) -> DataFrame:
     """(doc, source_type, items): each document's pieces in order."""
-    rows = pieces(units, budget.target_words, budget.max_words)
+    rows = pieces(units, budget.target_words, budget.max_words if budget.split_long else None)
     if decisions is None:
         rows = rows.withColumn("brk", F.lit(False))
     else:

@@ -21,10 +21,10 @@ def paragraph_units(pages: DataFrame) -> DataFrame:
     )
 
 
-def pieces(units: DataFrame, target_words: int, max_words: int) -> DataFrame:
+def pieces(units: DataFrame, target_words: int, max_words: int | None) -> DataFrame:
     """Units with an array of their pieces: themselves, or their sentences if they are longer than max_words, or runs of
-    target_words words if they have one sentence only."""
+    target_words words if they have one sentence only. Without max_words no unit is split."""
     split = text.sentences(F.col("text"))
     parts = F.when(F.size(split) > 1, split).otherwise(text.word_windows(F.col("text"), target_words))
-    long = F.col("word_count") > max_words
+    long = F.lit(False) if max_words is None else F.col("word_count") > max_words
     return units.withColumns({"oversize": long, "parts": F.when(long, parts).otherwise(F.array("text")), "major": text.is_major_heading(F.col("text"))})
